@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.session import ship
 
-from . import byte_bpe, decontaminate, kd_shards, line_dedup, token_files
+from . import byte_bpe, decontaminate, exact_topk, kd_shards, line_dedup, quality, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _OPERATORS: list[Query] = [
     byte_bpe.op1_byte_bpe,
+    toxicity.op3_toxicity,
+    warc.op4_warc,
     token_files.op5_token_files,
+    exact_topk.op6_exact_topk,
+    quality.op7_quality,
     line_dedup.op8_line_dedup,
     kd_shards.op9_kd_shards,
     decontaminate.op10_decontaminate,
@@ -30,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

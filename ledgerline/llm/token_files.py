@@ -171,8 +171,8 @@ def _open(path: str, write: bool):
     store, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
     if write:
         store.create_dir(inner.rpartition("/")[0], recursive=True)
-        return store.open_output_stream(inner)
-    return store.open_input_stream(inner)
+        return store.open_output_stream(inner, compression=None)
+    return store.open_input_stream(inner, compression=None)
 
 
 def as_uri(path: str) -> str:
