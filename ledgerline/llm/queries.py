@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.session import ship
 
-from . import byte_bpe, decontaminate, exact_topk, kd_shards, line_dedup, quality, token_files, toxicity, warc
+from . import byte_bpe, decontaminate, exact_topk, kd_shards, line_dedup, near_dedup, quality, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _OPERATORS: list[Query] = [
     byte_bpe.op1_byte_bpe,
+    near_dedup.op2_near_dedup,
     toxicity.op3_toxicity,
     warc.op4_warc,
     token_files.op5_token_files,
