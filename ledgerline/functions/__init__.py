@@ -1 +1 @@
-
+"""Column functions: parsing, dates, rounding, bands, text, statistics, finance."""

@@ -1 +1,3 @@
+"""Queries over the star-schema, event and document tables, registered with their SQL."""
 
+from . import cells, events, joins, kernels, merges, series, shares, texts  # noqa: F401

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ledgerline", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,20 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     context._ledgerline_shipped = True
     return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a temporary one is set only where the session has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="ledgerline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and cut from its lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
