@@ -47,7 +47,8 @@ def suppressed(value: Column, n: Column, least: int) -> Column:
 
 def wilson(x: Column, n: Column, z: float = 1.6448536269514722) -> tuple[Column, Column]:
     """The Wilson interval of a share x / n (90 % by default); null for n = 0."""
-    p, zz = x / F.nullif(n, F.lit(0)), z * z
+    n = F.nullif(n, F.lit(0))
+    p, zz = x / n, z * z
     mid = (p + zz / (2 * n)) / (1 + zz / n)
     half = z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return mid - half, mid + half
@@ -55,6 +56,7 @@ def wilson(x: Column, n: Column, z: float = 1.6448536269514722) -> tuple[Column,
 
 def newcombe(x1: Column, n1: Column, x2: Column, n2: Column, z: float = 1.6448536269514722) -> tuple[Column, Column]:
     """Newcombe's interval of the difference of two shares."""
+    n1, n2 = F.nullif(n1, F.lit(0)), F.nullif(n2, F.lit(0))
     (l1, u1), (l2, u2) = wilson(x1, n1, z), wilson(x2, n2, z)
     p1, p2 = x1 / n1, x2 / n2
     d = p1 - p2
@@ -63,6 +65,7 @@ def newcombe(x1: Column, n1: Column, x2: Column, n2: Column, z: float = 1.644853
 
 def differs(x1: Column, n1: Column, x2: Column, n2: Column, errors: float = 2.0) -> Column:
     """Whether two shares differ by more than so many standard errors."""
+    n1, n2 = F.nullif(n1, F.lit(0)), F.nullif(n2, F.lit(0))
     p1, p2 = x1 / n1, x2 / n2
     return F.abs(p1 - p2) > errors * F.sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2)
 

@@ -1 +1 @@
-
+"""Structured Streaming forms of arrivals, settled weeks and holds."""
