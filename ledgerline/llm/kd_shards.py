@@ -20,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, staged, table
+from ledgerline.session import checkpointed as cut
+
+from .common import staged, table
 
 BITS, ROUNDS, TIE_BITS = 12, 3, 20
 SLICES = 1024
+#: Cuts (three numbers each) up to which they are broadcast.
+MOST_SENT = 1 << 16
 #: Rows per block in which slots are counted one by one.
 BLOCK_ROWS = 4096
 
@@ -56,13 +60,13 @@ def _digit(key: Column, n: int) -> Column:
     return F.shiftright(key, BITS * (ROUNDS - 1 - n)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
 
 
-def _split(rows: DataFrame, n_dims: int) -> DataFrame:
+def _split(rows: DataFrame, n_dims: int, level: int) -> DataFrame:
     """(node, dim, bound): keys of the node's widest dimension below bound go left. One row per node with rows."""
     span = rows.groupBy("node").agg(F.sum("size").alias("weight"), *[(F.max(f"d{n}") - F.min(f"d{n}")).alias(f"w{n}") for n in range(n_dims)])
     widest = F.greatest(*[F.struct(F.col(f"w{n}").alias("w"), F.lit(-n).alias("n")) for n in range(n_dims)])
     found = cut(span.select("node", "weight", (-widest["n"]).alias("dim"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix")))
     for n in range(ROUNDS):
-        keyed = _keyed(rows, found, n_dims).where(F.shiftright("key", BITS * (ROUNDS - n)) == F.col("prefix"))
+        keyed = _keyed(rows, found, n_dims, level).where(F.shiftright("key", BITS * (ROUNDS - n)) == F.col("prefix"))
         bins = keyed.groupBy("node", "dim", "weight", "below", "prefix", _digit(F.col("key"), n).alias("digit")).agg(F.sum("size").alias("w"))
         # 4096 rows per node at most
         upto = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("digit"))
@@ -77,7 +81,11 @@ def _split(rows: DataFrame, n_dims: int) -> DataFrame:
     return found.select("node", "dim", F.col("prefix").alias("bound"))
 
 
-def _keyed(rows: DataFrame, cuts: DataFrame, n_dims: int) -> DataFrame:
+def _keyed(rows: DataFrame, cuts: DataFrame, n_dims: int, level: int) -> DataFrame:
+    """rows with the key of their node's dimension. There are 2**level cuts at most: few are broadcast, else rows
+    and cuts meet by node, of which there are then enough to spread."""
+    if 1 << level <= MOST_SENT:
+        cuts = F.broadcast(cuts)
     coordinate = F.element_at(F.array(*[F.col(f"d{n}") for n in range(n_dims)]), F.col("dim") + 1)
     return rows.join(cuts, "node").withColumn("key", F.shiftleft(coordinate, TIE_BITS) + F.col("tie"))
 
@@ -85,9 +93,9 @@ def _keyed(rows: DataFrame, cuts: DataFrame, n_dims: int) -> DataFrame:
 def kd_assign(rows: DataFrame, depth: int, n_dims: int) -> DataFrame:
     """rows of coordinates() with `node`, the leaf from 0 to 2**depth - 1. Cut tables have a row per node."""
     out = rows.withColumn("node", F.lit(0))
-    for _ in range(depth):
-        cuts = _split(out, n_dims)
-        keyed = _keyed(out, cuts, n_dims)
+    for level in range(depth):
+        cuts = _split(out, n_dims, level)
+        keyed = _keyed(out, cuts, n_dims, level)
         out = keyed.withColumn("node", (F.col("node") * 2 + (F.col("key") >= F.col("bound")).cast("int"))).drop("dim", "bound", "key")
     return out
 

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, space_words, spread, staged, table, utf8
+from ledgerline.session import checkpointed as cut
+
+from .common import space_words, spread, staged, table, utf8
 
 BANDS, ROWS = 42, 5
 #: Entries of a Python worker's cache of word hashes; it is emptied when full.

@@ -17,6 +17,7 @@ place each, in the order of their content; an empty table writes no files and re
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import uuid
@@ -25,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ from .common import scratch, spread, staged, table, utf8
 HEAD = "<4sIQQQ"
 MAGIC = b"LTK1"
 FILE_BYTES = 32 << 20
-#: Entries of the word caches of a Python worker; they are emptied when full.
-CACHED_CHUNKS, CACHED_WORDS = 250_000, 800_000
+#: Entries of a generation of a Python worker's word cache, and text encoded at once.
+CACHED_WORDS, BATCH_BYTES = 400_000, 16 << 20
 
 #: Bytes of each of the four values of a control byte.
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -64,12 +66,31 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class _Cache(dict):
+    """make(key) for each key, kept in two generations: a full one becomes the old one, which is looked into first."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
-    """Ids of a text by a `tokenizers` model that normalises and splits at white space; words are cached.
+    """Ids of texts by a `tokenizers` model that normalises and splits at white space.
 
-    White space never lies within a word of such a model, so the ids of a text are those of its chunks in order.
-    Chunks of ASCII and Latin letters are split by the tokenizer's own pattern and each word goes to its BPE
-    model; any other chunk goes through the whole tokenizer.
+    White space never lies within a word of such a model, so the ids of a text are those of its chunks in order. The
+    chunks of a batch are reduced to distinct ones; those of ASCII and Latin letters are split by the
+    tokenizer's own pattern and each word goes to its BPE model (words are cached), any other goes through the whole
+    tokenizer. The texts' ids are then gathered by numpy.
     """
 
     def __init__(self, path: str):
@@ -83,50 +104,62 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.raw = [np.array(k, dtype=self.dtype).tobytes() for k in range(size)]
+        self.words = _Cache(self._word, CACHED_WORDS)
         # the printable stand-ins of bytes in byte-level vocabularies
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         other = iter(range(0x100, 0x200))
         self.stand_in = {b: chr(b if b in plain else next(other)) for b in range(256)}
-        self.odd = regex.compile(r"[\x1c-\x1f]")
-        self.latin = regex.compile(r"[\x00-ɏ]*+")
+        self.latin = re.compile(r"[\x00-\u024f]*")
 
     def encode(self, text: str) -> bytes:
-        if self.odd.search(text):  # str.split() would split there, the tokenizer doesn't
-            return self._whole(text)
-        known, out = self.chunks, []
-        for chunk in text.split():
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_batch(pa.array([text.encode()], pa.binary()))[0]
+
+    def encode_batch(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """The ids of UTF-8 texts, `end` after each."""
+        out: list[bytes] = []
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES, side="right")))
+            out += self._some(texts.slice(at, n).cast(pa.string()), end)
+            at += n
+        return out
+
+    def _some(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        lists = pc.utf8_split_whitespace(pc.ascii_lower(texts))
+        coded = pc.dictionary_encode(lists.flatten())
+        distinct = [self._chunk(c) for c in coded.dictionary.to_pylist()]
+        size = np.array([len(x) for x in distinct], dtype=np.int64) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(distinct), dtype=self.dtype)
+        begin = np.cumsum(size) - size
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[index]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        # the ids of each chunk in turn: its beginning among the distinct ids, counted on
+        ids = flat[np.repeat(begin[index] - upto[:-1], n) + np.arange(upto[-1])].tobytes() if len(index) else b""
+        ends = (upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * self.dtype.itemsize).tolist()
+        out = [ids[a:b] + end for a, b in zip(ends, ends[1:])]
+        for k in np.flatnonzero(odd).tolist():  # Arrow splits there, the tokenizer doesn't
+            out[k] = self._whole(texts[k].as_py()) + end
+        return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if len(chunk) > 200:
+        if len(chunk) > 200 or not self.latin.fullmatch(chunk):
             return self._whole(chunk)
-        if self.latin.fullmatch(chunk):
-            low = "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)]) if not chunk.isascii() else chunk.lower()
-            ids = b"".join([self.words.get(w) or self._word(w) for w in self.pattern.findall(low)])
-        else:
-            ids = self._whole(chunk)
-        if len(self.chunks) >= CACHED_CHUNKS:
-            self.chunks.clear()
-        self.chunks[chunk] = ids
-        return ids
+        low = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
+        return self.words[low] if low.isalpha() else b"".join([self.words[w] for w in self.pattern.findall(low)])
 
     def _word(self, word: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.stand_in))
-        ids = np.array([t.id for t in tokens], dtype=self.dtype).tobytes()
-        if len(self.words) >= CACHED_WORDS:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
+        mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.stand_in)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokenizer.model.tokenize(mapped)])
 
 
 @lru_cache(maxsize=1)
@@ -142,7 +175,7 @@ def encode(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text
         own = encoder(path)
         end = np.array([end_id], dtype=own.dtype).tobytes()
         for batch in batches:
-            ids = [own.encode(t.decode("utf-8", "replace")) + end for t in batch.column("text").to_pylist()]
+            ids = own.encode_batch(batch.column("text"), end)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return plain.mapInArrow(run, "doc_id long, ids binary")

@@ -2,8 +2,8 @@
 
 The index holds labelled examples (labelled.PER_CLASS per class at most) as posting lists cut into blocks of examples,
 with each term's largest weight in each block. A text's upper bound for a block is its product with those maxima;
-blocks are visited from the highest bound down until the k-th best similarity is no less than the next bound, so the
-k nearest are exact. Terms are the words that occur more often in toxic examples than chance has it. Neighbours vote
+the blocks of the highest bounds are scored first, then those whose bound reaches the k-th best similarity, so the k
+nearest are exact. Terms are the words that occur more often in toxic examples than chance has it. Neighbours vote
 with their squared similarity; a logistic curve fitted on the examples' own votes, each without itself, calibrates the
 vote. The neighbours are the evidence.
 
@@ -27,6 +27,8 @@ from .quality import with_scores
 
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks of the highest bounds that are scored before any is pruned.
+AHEAD = 4
 #: A term's count among toxic examples must exceed its expectation by so many standard deviations.
 EXCESS = 3.0
 LEAST_DF = 3
@@ -52,22 +54,36 @@ class BlockMaxIndex:
         np.maximum.at(self.most, at, self.weight)
         self.most = self.most.reshape(n_terms, self.n_blocks)
 
+    def _scores(self, terms: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Products with all examples of the given blocks (ascending), gathered from their postings at once."""
+        at = (terms[:, None] * self.n_blocks + blocks).ravel()
+        lo = self.start[at]
+        size = self.start[at + 1] - lo
+        upto = np.cumsum(size)
+        rows = np.arange(upto[-1]) + np.repeat(lo - upto + size, size)
+        return np.bincount(self.example[rows], self.weight[rows] * np.repeat(np.repeat(values, len(blocks)), size), minlength=self.n)
+
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest positive products, (product, example), ties to the earlier example."""
+        """The k examples of the largest positive products, (product, example), ties to the earlier example.
+
+        The blocks of the highest bounds are scored first; of the others only those whose bound reaches the k-th
+        best product so far.
+        """
         bounds = values @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and best[-1][0] > bounds[b] * (1 + 1e-12):
-                break
-            scores = np.zeros(self.block)
-            for t, v in zip(terms.tolist(), values.tolist()):
-                lo, hi = self.start[t * self.n_blocks + b], self.start[t * self.n_blocks + b + 1]
-                scores[self.example[lo:hi] - b * self.block] += v * self.weight[lo:hi]
-            found = np.flatnonzero(scores)
-            best += [(float(scores[i]), b * self.block + i) for i in found.tolist() if b * self.block + i != skip]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+        order = np.argsort(-bounds, kind="stable")
+        ahead, rest = np.sort(order[:AHEAD]), order[AHEAD:]
+        scores = self._scores(terms, values, ahead)
+        if skip >= 0:
+            scores[skip] = 0
+        least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
+        rest = np.sort(rest[(bounds[rest] > 0) & (bounds[rest] * (1 + 1e-12) >= least)])
+        if len(rest):
+            scores += self._scores(terms, values, rest)
+            if skip >= 0:
+                scores[skip] = 0
+        found = np.flatnonzero(scores > max(0.0, least * (1 - 1e-12)))
+        found = found[np.lexsort((found, -scores[found]))[:k]]
+        return list(zip(scores[found].tolist(), found.tolist()))
 
 
 class Model:
