@@ -7,10 +7,10 @@ Every link is confirmed on the full sets.
 
 Equal sets form a class; only class representatives (smallest ids) go on. Links are found without listing the pairs
 of a bucket: in each round every document that shares an open bucket (one with more than one component) is tested
-against pivots of its buckets' largest components, one in the first round and twice as many in each that follows, and
-confirmed links are joined to components. When the pairs between components that remain in open buckets are no more
-than a round may test, all of them are tested; so rounds grow with the logarithm of a bucket's size. Only sets of
-candidates are shuffled, texts and sets of others never.
+against pivots of its buckets' largest components, one in the first round and four times as many in each that follows,
+and confirmed links are joined to components. When the pairs between components that remain in open buckets are no
+more than a round may test, all of them are tested, each in the first bucket that both share; so rounds grow with the
+logarithm of a bucket's size. Only sets of candidates are shuffled, texts and sets of others never.
 
 Cases: null texts and texts without words have an empty set and link with nothing, not even each other; a text with
 fewer words than a shingle has one shingle, the whole sequence; rows with one id are one document; rows with a null id
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.session import checkpointed as cut
@@ -148,6 +148,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
+def _fits(n: str, n_y: str, percent: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return 100 * F.least(n, n_y) >= percent * F.greatest(n, n_y)
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, comp) after joining the components that links (x, y) connect."""
     x = links.join(labels.select(F.col("id").alias("x"), F.col("comp").alias("a")), "x").join(labels.select(F.col("id").alias("y"), F.col("comp").alias("b")), "y")
@@ -161,7 +166,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tested, turn = None, 0
     while True:
         named = members.join(labels, "id")
-        shares = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket", F.lit(turn))).alias("pivot"))
+        shares = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
         most = F.max_by(F.struct("comp", "pivot"), F.struct("c", -F.col("comp")))
         open_ = cut(shares.groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"), most.alias("m")).where("k > 1"))
         left, n = open_.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
@@ -169,20 +174,21 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return labels
         # members outside the largest component of their bucket
         minor = named.join(open_.select("bucket", F.col("m.comp").alias("big"), F.col("m.pivot").alias("pivot")), "bucket").where("comp <> big")
-        last = left <= (4 * n) << turn
+        last = left <= (4 * n) << (2 * turn)
         if last:
-            other = named.select("bucket", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"))
-            pairs = minor.join(other, "bucket").where((F.col("comp") != F.col("comp_y")) & ((F.col("comp_y") == F.col("big")) | (F.col("id") < F.col("y"))))
-            pairs = pairs.select(F.col("id").alias("x"), "y", "n", "n_y")
-        else:
-            pairs = minor.select(F.col("id").alias("x"), F.col("pivot.id").alias("y"), "n", F.col("pivot.n").alias("n_y"))
-        fits = 100 * F.least("n", "n_y") >= percent * F.greatest("n", "n_y")
-        pairs = pairs.where(fits).select("x", "y").distinct()
+            # the buckets of an id are as many as bands at most; a pair is made in the first that both share
+            spots = named.join(open_.select("bucket"), "bucket").groupBy("id").agg(F.collect_set("bucket").alias("spots"))
+            other = named.join(spots, "id").select("bucket", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"), F.col("spots").alias("spots_y"))
+            minor = minor.join(spots, "id").withColumnRenamed("bucket", "own")
+            meet = (F.col("own") == F.col("bucket")) & (F.col("comp") != F.col("comp_y")) & ((F.col("comp_y") == F.col("big")) | (F.col("id") < F.col("y")))
+            meet &= _fits("n", "n_y", percent) & (F.array_min(F.array_intersect("spots", "spots_y")) == F.col("bucket"))
+            pairs = minor.join(other, meet).select(F.col("id").alias("x"), "y").distinct()
+        else:  # of at most as many pivots as bands
+            pairs = minor.where(_fits("n", "pivot.n", percent)).select(F.col("id").alias("x"), F.col("pivot.id").alias("y")).distinct()
+            dealt = F.array_sort(F.collect_list(F.struct(F.xxhash64("y", F.lit(turn)).alias("h"), "y")))
+            pairs = pairs.groupBy("x").agg(dealt.alias("ys")).select("x", F.explode(F.slice("ys", 1, 4 ** turn)["y"]).alias("y"))
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        if not last:  # of at most as many pivots as bands
-            dealt = F.array_sort(F.collect_list(F.struct(F.xxhash64("y", F.lit(turn)).alias("h"), "y")))
-            pairs = pairs.groupBy("x").agg(dealt.alias("ys")).select("x", F.explode(F.slice("ys", 1, 1 << turn)["y"]).alias("y"))
         pairs = staged(pairs, "near-pairs")
         links = cut(confirmed(pairs, sets, percent))
         if not links.isEmpty():
