@@ -160,18 +160,28 @@ class ByteBpe:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", id_col: str | None = None) -> DataFrame:
-    """docs with ids_col: the ids as little-endian unsigned 32-bit integers, and n_tokens. Nothing is shuffled."""
-    plain = docs.drop(ids_col, "n_tokens").withColumn("__ll_text", utf8(text_col))
-    schema = docs.drop(ids_col, "n_tokens").withColumns({ids_col: F.lit(b""), "n_tokens": F.lit(0).cast("long")}).schema
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with ids_col: the ids as little-endian unsigned 32-bit integers, and n_tokens; with decoded_col, if given,
+    the bytes that decode() gives for those ids, in the same pass over the rows. Nothing is shuffled."""
+    base = docs.drop(ids_col, "n_tokens", *([decoded_col] if decoded_col else []))
+    plain = base.withColumn("__ll_text", utf8(text_col))
+    schema = base.withColumns({ids_col: F.lit(b""), "n_tokens": F.lit(0).cast("long")} | ({decoded_col: F.lit(b"")} if decoded_col else {})).schema
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            ids = [own.encode(t.decode("utf-8", "replace")) for t in batch.column("__ll_text").to_pylist()]
+            # texts one at a time: a batch's ids are kept as bytes only
+            coded, counts, decoded = [], [], []
+            for t in batch.column("__ll_text"):
+                ids = own.encode(t.as_py().decode("utf-8", "replace"))
+                coded.append(ids.astype("<u4").tobytes())
+                counts.append(len(ids))
+                if decoded_col:
+                    decoded.append(own.decode(ids))
             cols = [batch.column(k) for k, n in enumerate(batch.schema.names) if n != "__ll_text"]
             names = [n for n in batch.schema.names if n != "__ll_text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], names=[*names, ids_col, "n_tokens"])
+            new = [pa.array(coded, pa.binary()), pa.array(counts, pa.int64()), *([pa.array(decoded, pa.binary())] if decoded_col else [])]
+            yield pa.RecordBatch.from_arrays([*cols, *new], names=[*names, ids_col, "n_tokens", *([decoded_col] if decoded_col else [])])
 
     return plain.mapInArrow(run, schema)
 
@@ -193,7 +203,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256."""
-    both = decode(encode(docs, path, pattern, text_col, "__ll_ids"), path, pattern, "__ll_ids", "__ll_decoded")
+    both = encode(docs, path, pattern, text_col, "__ll_ids", "__ll_decoded")
     return both.withColumns({"ids_sha256": F.sha2("__ll_ids", 256), "decoded_sha256": F.sha2("__ll_decoded", 256)}).drop("__ll_ids", "__ll_decoded")
 
 

@@ -179,14 +179,16 @@ def _chunks(benchmark: DataFrame, id_col: str, text_col: str, chunk_words: int)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """docs with `hit_from`, `hit_to` (arrays of word ranges), `hit_items` (sorted distinct ids as strings), `n_words`."""
-    extra = "hit_from array<int>, hit_to array<int>, hit_items array<string>, n_words long"
-    none = [F.array().cast("array<int>"), F.array().cast("array<int>"), F.array().cast("array<string>"), F.lit(0).cast("long")]
-    out = docs.withColumns(dict(zip(("hit_from", "hit_to", "hit_items", "n_words"), none))).withColumn("__ll_text", utf8(text_col))
+    """docs with `hit_from`, `hit_to` (arrays of word ranges), `cut_from`, `cut_to` (the same as byte ranges), `hit_items`
+    (sorted distinct ids as strings), `n_words`."""
+    ints = F.array().cast("array<int>")
+    new_cols = {"hit_from": ints, "hit_to": ints, "cut_from": ints, "cut_to": ints, "hit_items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")}
+    kinds = (*[pa.list_(pa.int32())] * 4, pa.list_(pa.string()), pa.int64())
+    out = docs.withColumns(new_cols).withColumn("__ll_text", utf8(text_col))
     for ids, words in _chunks(benchmark, item_id, item_text, chunk_words):
         shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((SuffixAutomaton(words, window), [str(i) for i in ids])))
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, new_cols=tuple(new_cols)):
             automaton, names = pickle.loads(shared.value)
             for batch in batches:
                 texts = batch.column("__ll_text").to_pylist()
@@ -197,11 +199,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
                     hits = automaton.hits(split, found)
                     if a:  # hits of earlier chunks
                         hits = _union(hits + list(zip(a, b)))
-                    new.append(([x for x, _ in hits], [y for _, y in hits], sorted({*items, *(names[i] for i in found)}), len(split)))
-                cols = [pa.array(x, type=t) for x, t in zip(zip(*new) if new else [[]] * 4, (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64()))]
+                    starts, stops = [x for x, _ in hits], [y for _, y in hits]
+                    new.append((starts, stops, *(_places(data, starts, stops) if hits else ([], [])), sorted({*items, *(names[i] for i in found)}), len(split)))
+                cols = [pa.array(x, type=t) for x, t in zip(zip(*new) if new else [[]] * 6, kinds)]
                 names_now = batch.schema.names
                 arrays = [batch.column(k) for k in range(batch.num_columns)]
-                for c, col in zip(("hit_from", "hit_to", "hit_items", "n_words"), cols):
+                for c, col in zip(new_cols, cols):
                     arrays[names_now.index(c)] = col
                 yield pa.RecordBatch.from_arrays(arrays, names=names_now)
 
@@ -219,17 +222,12 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _without(data: bytes, starts: list[int], stops: list[int]) -> bytes:
-    """data without the words of the given ranges and what stands between them."""
+def _places(data: bytes, starts: list[int], stops: list[int]) -> tuple[list[int], list[int]]:
+    """The bytes [from, to) of the words of the given ranges and what stands between them."""
     mask = np.frombuffer(data.lower().translate(_NOT_WORD), dtype=np.uint8) != 0x20
     edge = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    keep, last = [], 0
-    for a, b in zip(starts, stops):
-        keep.append(data[last:begin[a]])
-        last = int(end[b - 1])
-    keep.append(data[last:])
-    return b"".join(keep)
+    return begin[starts].tolist(), end[np.array(stops, dtype=np.int64) - 1].tolist()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, **options) -> DataFrame:
@@ -238,13 +236,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     hit = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0), lambda x, y: x + y)
     found = found.where(hit <= F.col("n_words") * F.lit(max_coverage))
 
-    @F.pandas_udf("string")
-    def rest(text, a, b):
-        import pandas as pd
-
-        return pd.Series([_without(t.encode(), x, y).decode() if len(x) else t for t, x, y in zip(text, a, b)], dtype=object)
-
-    clean = F.when(F.size("hit_from") == 0, F.col(text_col)).otherwise(rest(F.col(text_col), "hit_from", "hit_to"))
+    data = F.col(text_col).cast("binary")
+    begin = F.concat(F.array(F.lit(0)), F.col("cut_to"))
+    end = F.concat(F.col("cut_from"), F.array(F.octet_length(data)))
+    # separators are ASCII, so every piece is whole characters
+    parts = F.transform(F.arrays_zip(begin.alias("a"), end.alias("b")), lambda x: F.substring(data, x["a"] + 1, x["b"] - x["a"]).cast("string"))
+    clean = F.when(F.size("cut_from") == 0, F.col(text_col)).otherwise(F.array_join(parts, ""))
     return found.withColumn(text_col, clean).select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -32,7 +32,7 @@ from .common import space_words, spread, staged, table, utf8
 
 BANDS, ROWS = 42, 5
 #: Entries of a Python worker's cache of word hashes; it is emptied when full.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 #: Hashes permuted at once, which bounds a task's memory for long texts.
 AT_ONCE = 4096
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
