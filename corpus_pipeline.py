@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality, toxicity
-from ledgerline.llm.common import staged, table
+from ledgerline.llm.common import ready, staged, table
 from ledgerline.llm.labelled import fold
-from ledgerline.session import ship
 
 #: Documents with a toxicity of at least this go.
 TOXIC = 0.5
@@ -28,7 +27,7 @@ def _same_columns(new: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(ship(spark), sf_dir, "labels"), fold("doc_id", 4) != 2)
+    model = toxicity.fit(docs, table(ready(spark), sf_dir, "labels"), fold("doc_id", 4) != 2)
     scored = quality.with_scores(docs, model, score_col="__ll_toxicity")
     return scored.where(F.col("__ll_toxicity") < TOXIC).select(*[f"`{c}`" for c in docs.columns])
 
@@ -38,16 +37,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return near_dedup.one_of_each(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _same_columns(decontaminate.decontaminate(docs, table(ship(spark), sf_dir, "benchmark")), docs)
+    return _same_columns(decontaminate.decontaminate(docs, table(ready(spark), sf_dir, "benchmark")), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, decoded_col="decoded")
     return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -66,7 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

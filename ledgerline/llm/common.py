@@ -7,12 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.session import checkpoint_dir
+from ledgerline.session import checkpoint_dir, ship
 
 #: Bytes that separate the words of decontamination: every ASCII byte but digits and small letters.
 _NOT_WORD = bytes(0x20 if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80) else b for b in range(256))
 
 
+def ready(spark: SparkSession, batch_rows: int = 1_000) -> SparkSession:
+    """spark with the package shipped and Arrow batches of so many rows, which bounds what a Python worker holds of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    return ship(spark)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

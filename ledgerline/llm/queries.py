@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.session import ship
-
 from . import byte_bpe, decontaminate, exact_topk, kd_shards, line_dedup, near_dedup, quality, token_files, toxicity, warc
+from .common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +25,12 @@ _OPERATORS: list[Query] = [
 ]
 
 
+#: Rows of an Arrow batch where many at once serve: vectors are searched, and distinct words encoded, by the batch.
+_BATCH_ROWS = {"op5_token_files": 10_000, "op6_exact_topk": 10_000}
+
+
 def _shipped(query: Query) -> Query:
-    return lambda spark, sf_dir: query(ship(spark), sf_dir)
+    return lambda spark, sf_dir: query(ready(spark, _BATCH_ROWS.get(query.__name__, 1_000)), sf_dir)
 
 
 def queries() -> dict[str, Query]:
