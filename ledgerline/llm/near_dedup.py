@@ -10,7 +10,8 @@ of a bucket: in each round every document that shares an open bucket (one with m
 against pivots of its buckets' largest components, one in the first round and four times as many in each that follows,
 and confirmed links are joined to components. When the pairs between components that remain in open buckets are no
 more than a round may test, all of them are tested, each in the first bucket that both share; so rounds grow with the
-logarithm of a bucket's size. Only sets of candidates are shuffled, texts and sets of others never.
+logarithm of a bucket's size. Texts are joined with the ids of candidates once; after that only sets of candidates are
+shuffled. Pairs of near copies that don't link can still grow with the square of their group.
 
 Cases: null texts and texts without words have an empty set and link with nothing, not even each other; a text with
 fewer words than a shingle has one shingle, the whole sequence; rows with one id are one document; rows with a null id
