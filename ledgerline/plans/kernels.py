@@ -58,6 +58,6 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def titles_kept_greedily(spark: SparkSession, d: str) -> DataFrame:
-    """First lines in order, without those that are like an earlier kept one."""
-    first = t(spark, d, "documents").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"))
+    """Whole first lines in order, without those that are like an earlier kept one."""
+    first = t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
     return titles.kept_greedily(first, "doc_id", "title").select("doc_id", "title")

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -50,3 +51,15 @@ def test_query(name, spark, duck):
 
 def test_entry(spark):
     assert entry_points.entry(spark).columns == ["p_brand", "cells", "change"]
+
+
+def test_titles_kept_greedily_takes_whole_lines(spark, duck):
+    form = lambda x: re.sub(r"[\W_]", "", re.sub(r"\[[^\]]*\]|\([^)]*\)", "", x)).lower()
+    kept = []
+    for i, x in duck.sql("SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) FROM documents ORDER BY doc_id").fetchall():
+        f = form(x)
+        g = {f[k:k + 2] for k in range(len(f) - 1)}
+        if not any(g and h and 2 * len(g & h) / (len(g) + len(h)) >= 0.75 for _, _, h in kept):
+            kept.append((i, x, g))
+    got = catalog.queries()["titles_kept_greedily"](spark, SF).where("title IS NOT NULL").collect()
+    assert sorted((r.doc_id, r.title) for r in got) == [(i, x) for i, x, _ in kept]
