@@ -1,9 +1,10 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over selected words.
 
 The index holds labelled examples (labelled.PER_CLASS per class at most) as posting lists cut into blocks of examples,
 with each term's largest weight in each block. A text's upper bound for a block is its product with those maxima;
 the blocks of the highest bounds are scored first, then those whose bound reaches the k-th best similarity, so the k
-nearest are exact. Terms are the words that occur more often in toxic examples than chance has it. Neighbours vote
+nearest are exact. Terms are the words that occur more often in toxic examples than chance has it, so neighbours
+are not those by all words (README has the recall of both). Neighbours vote
 with their squared similarity; a logistic curve fitted on the examples' own votes, each without itself, calibrates the
 vote. The neighbours are the evidence.
 
