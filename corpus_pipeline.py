@@ -15,8 +15,8 @@ from ledgerline.llm import byte_bpe, decontaminate, line_dedup, near_dedup, qual
 from ledgerline.llm.common import ready, staged, table
 from ledgerline.llm.labelled import fold
 
-#: Documents with a toxicity of at least this go.
-TOXIC = 0.5
+#: Documents with a toxicity of at least this go: those that op3_toxicity predicts toxic.
+TOXIC = toxicity.THRESHOLD
 
 
 def _same_columns(new: DataFrame, docs: DataFrame) -> DataFrame:

@@ -54,3 +54,10 @@ def test_pipeline_stages(spark):
             assert docs.columns == columns
     row = docs.first()
     assert len(np.frombuffer(row.token_ids, dtype="<u4")) == row.n_tokens
+
+
+def test_pipeline_drops_what_op3_predicts_toxic(spark):
+    sf = "/root/testdata/sf0.1"
+    left = corpus_pipeline.drop_toxic(spark, table(spark, sf, "documents"), sf)
+    clean = queries.queries()["op3_toxicity"](spark, sf).where("predicted = 0")
+    assert {r.doc_id for r in left.select("doc_id").collect()} == {r.doc_id for r in clean.select("doc_id").collect()}
