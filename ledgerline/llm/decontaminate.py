@@ -169,8 +169,8 @@ class SuffixAutomaton:
 
 
 def _chunks(benchmark: DataFrame, id_col: str, text_col: str, chunk_words: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(item ids, their words), at most about chunk_words words at a time."""
-    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(item ids, their words), at most about chunk_words words at a time; repeated rows of an item are one."""
+    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (2 * chunk_words)))  # a word has two bytes at least
     for k in range(n):

@@ -190,6 +190,14 @@ def test_hits_against_windows(spark, chunk):
         assert (r.n_words, sum(b - a for a, b in zip(r.hit_from, r.hit_to)), r.hit_items) == brute_hits(texts[r.doc_id], items), texts[r.doc_id][:80]
 
 
+def test_repeated_benchmark_rows_stay_in_bounds(spark):
+    rows = [(1, "a b c d")] * 200 + [(i, f"x{i} y{i}") for i in range(2, 40)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    chunks = list(decontaminate._chunks(bench, "item_id", "text", 50))
+    assert sorted(i for ids, _ in chunks for i in ids) == list(range(1, 40))
+    assert max(sum(map(len, words)) for _, words in chunks) <= 100
+
+
 def test_spans_go_and_the_rest_stays(spark):
     item = " ".join(f"q{i}" for i in range(12))
     texts = [f"Before, {item}. after and more words to keep here so that most stays, really {'x ' * 20}", item, "clean", None]
