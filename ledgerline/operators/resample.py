@@ -24,6 +24,17 @@ def lcg(seed: int, n: int) -> np.ndarray:
     return out / 2.0**32
 
 
+def jumped(seed: int, k: int) -> int:
+    """The state of lcg's generator k draws after seed."""
+    m = (1 << 32) - 1
+    a, c, x = 1664525, 1013904223, seed & m
+    while k:
+        if k & 1:
+            x = (a * x + c) & m
+        a, c, k = a * a & m, (a + 1) * c & m, k >> 1
+    return x
+
+
 def draws(seed: int, rounds: int, n: int) -> np.ndarray:
     """rounds x n row numbers below n; blocks of the generator are jumped to, so all rounds are made at once."""
     total = rounds * n
@@ -47,14 +58,14 @@ def draws(seed: int, rounds: int, n: int) -> np.ndarray:
 
 
 def median_interval(values: np.ndarray, rounds: int = 400, seed: int = 20261001, tail: float = 0.05) -> tuple[float, float]:
-    """The percentile interval of the median over resampled values."""
+    """The percentile interval of the median over resampled values; draws are held for some rounds at a time."""
     if not len(values):
         return np.nan, np.nan
     medians = np.empty(rounds)
     step = max(1, (1 << 22) // len(values))
-    rows = draws(seed, rounds, len(values))
     for a in range(0, rounds, step):
-        medians[a:a + step] = np.median(values[rows[a:a + step]], axis=1)
+        rows = draws(jumped(seed, a * len(values)), min(step, rounds - a), len(values))
+        medians[a:a + step] = np.median(values[rows], axis=1)
     medians.sort()
     return float(medians[int(rounds * tail)]), float(medians[int(rounds * (1 - tail))])
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -81,6 +82,18 @@ def test_kernels_are_seeded_and_cover():
     assert resample.block_win_share(np.ones(30)) == 1.0
 
 
+def test_median_interval_holds_some_rounds_at_a_time():
+    values = np.random.default_rng(1).normal(size=60_000)
+    tracemalloc.start()
+    got = resample.median_interval(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = resample.draws(20261001, 400, len(values))
+    medians = np.sort([np.median(values[x]) for x in rows])
+    assert got == (medians[20], medians[380])
+    assert peak < rows.nbytes
+
+
 def test_titles_greedy_against_loop(spark):
     rnd = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "omega"]
