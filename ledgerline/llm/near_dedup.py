@@ -11,7 +11,12 @@ against pivots of its buckets' largest components, one in the first round and fo
 and confirmed links are joined to components. When the pairs between components that remain in open buckets are no
 more than a round may test, all of them are tested, each in the first bucket that both share; so rounds grow with the
 logarithm of a bucket's size. Texts are joined with the ids of candidates once; after that only sets of candidates are
-shuffled. Pairs of near copies that don't link can still grow with the square of their group.
+shuffled.
+
+Each candidate has a parity bitmap: bit h mod m is set if an odd number of its hashes h fall on it. The bits in which two
+bitmaps differ are a lower bound of the hashes that only one of the sets has, so a pair beyond the bound of the wanted
+similarity cannot link: that filter loses nothing, and the sets of such pairs are never joined. Comparisons of bitmaps
+within a bucket can still grow with the square of a group of near copies that do not link; rows made do not.
 
 Cases: null texts and texts without words have an empty set and link with nothing, not even each other; a text with
 fewer words than a shingle has one shingle, the whole sequence; rows with one id are one document; rows with a null id
@@ -34,6 +39,8 @@ from .common import space_words, spread, staged, table, utf8
 BANDS, ROWS = 42, 5
 #: Entries of a Python worker's cache of word hashes; it is emptied when full.
 CACHED_WORDS = 100_000
+#: Bits of the largest parity bitmap.
+MOST_BITS = 4096
 #: Hashes permuted at once, which bounds a task's memory for long texts.
 AT_ONCE = 4096
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
@@ -115,22 +122,51 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, f1 long, f2 long, n long, bands array<long>")
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set in 64-bit words: two to four bits a hash, MOST_BITS at most."""
+    m = min(MOST_BITS, max(64, 1 << (2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, set) of (id, text)."""
+    """(id, n, set, bits) of (id, text)."""
     def run(batches):
         own = signer(words, BANDS, ROWS)
         for batch in batches:
-            h = [own.shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in h], pa.int64()), pa.array(h, pa.list_(pa.int64()))], names=["id", "n", "set"])
+            h = [own.shingles(t) for t in batch.column("text").to_pylist()]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in h], pa.int64()), pa.array([x.view(np.int64) for x in h], longs), pa.array([parity(x) for x in h], longs)], names=["id", "n", "set", "bits"])
+
+    return docs.mapInArrow(run, "id long, n long, set array<long>, bits array<long>")
+
+
+def may_link(bits: str, bits_y: str, n: Column, n_y: Column, percent: int) -> Column:
+    """False only where the bitmaps prove that the sets cannot be linked. The larger bitmap is folded to the smaller's
+    size, of which it is twice; sets whose bitmaps differ more are not judged here."""
+    a, b = F.col(bits), F.col(bits_y)
+
+    def folded(x: Column, k: Column) -> Column:
+        return F.when(F.size(x) > k, F.zip_with(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    apart = F.aggregate(F.zip_with(folded(a, F.size(b)), folded(b, F.size(a)), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, c: acc + c)
+    # |x - y| + |y - x| of a link is at most (n + n_y) * (100 - percent) / (100 + percent)
+    return (F.greatest(F.size(a), F.size(b)) > 2 * F.least(F.size(a), F.size(b))) | ((100 + percent) * apart <= (100 - percent) * (n + n_y))
+
 
-    return docs.mapInArrow(run, "id long, n long, set array<long>")
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that the bitmaps don't exclude."""
+    for c in "yx":
+        pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    return pairs.where(may_link("bits_x", "bits_y", F.col("n_x"), F.col("n_y"), percent)).select("x", "y")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets have 100 * intersection >= percent * union."""
-    # sorts and joins by id: a pivot with very many partners is split by adaptive execution
-    both = pairs.join(sets.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("set").alias("set_y")).hint("merge"), "y")
-    both = both.join(sets.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("set").alias("set_x")).hint("merge"), "x")
+    """The pairs (x, y), a staged table, whose full sets have 100 * intersection >= percent * union."""
+    # few pairs are broadcast by their table's size; else a pivot with very many partners is split by adaptive execution
+    both = pairs.join(sets.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("set").alias("set_y")), "y")
+    asked = sets.join(pairs.select(F.col("x").alias("id")).distinct(), "id", "left_semi")
+    both = both.join(asked.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("set").alias("set_x")).hint("merge"), "x")
     common = F.size(F.array_intersect("set_x", "set_y")).cast("long")
     return both.where(100 * common >= percent * (F.col("n_x") + F.col("n_y") - common)).select("x", "y")
 
@@ -173,30 +209,34 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left, n = open_.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         if not left:
             return labels
-        # members outside the largest component of their bucket
-        minor = named.join(open_.select("bucket", F.col("m.comp").alias("big"), F.col("m.pivot").alias("pivot")), "bucket").where("comp <> big")
         last = left <= (4 * n) << (2 * turn)
         if last:
-            # the buckets of an id are as many as bands at most; a pair is made in the first that both share
-            spots = named.join(open_.select("bucket"), "bucket").groupBy("id").agg(F.collect_set("bucket").alias("spots"))
-            other = named.join(spots, "id").select("bucket", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"), F.col("spots").alias("spots_y"))
-            minor = minor.join(spots, "id").withColumnRenamed("bucket", "own")
-            meet = (F.col("own") == F.col("bucket")) & (F.col("comp") != F.col("comp_y")) & ((F.col("comp_y") == F.col("big")) | (F.col("id") < F.col("y")))
-            meet &= _fits("n", "n_y", percent) & (F.array_min(F.array_intersect("spots", "spots_y")) == F.col("bucket"))
-            pairs = minor.join(other, meet).select(F.col("id").alias("x"), "y").distinct()
-        else:  # of at most as many pivots as bands
+            # the open buckets of an id are as many as bands at most; a pair is made in the least that both share, so
+            # each row has the lesser ones of its id (32 bits each) beside its bitmap
+            met = named.join(open_.select("bucket", F.col("m.comp").alias("big")), "bucket").groupBy("id", "n", "comp").agg(F.array_sort(F.collect_set(F.struct("bucket", "big"))).alias("met"))
+            met = met.join(sets.select("id", "bits"), "id").select("id", "n", "comp", "bits", F.transform("met", lambda s: F.shiftright(s["bucket"], 32).cast("int")).alias("lesser"), F.posexplode("met").alias("at", "s"))
+            met = met.select("s.bucket", "s.big", "id", "n", "comp", "bits", F.slice("lesser", F.lit(1), F.col("at")).alias("lesser"))
+            other = met.select("bucket", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"), F.col("bits").alias("bits_y"), F.col("lesser").alias("lesser_y"))
+            meet = (F.col("comp") != F.col("comp_y")) & ((F.col("comp_y") == F.col("big")) | (F.col("id") < F.col("y"))) & _fits("n", "n_y", percent)
+            meet &= ~F.arrays_overlap("lesser", "lesser_y")
+            both = met.where("comp <> big").withColumnRenamed("bucket", "own").join(other.hint("merge"), (F.col("own") == F.col("bucket")) & meet & may_link("bits", "bits_y", F.col("n"), F.col("n_y"), percent))
+            pairs = both.select(F.col("id").alias("x"), "y").distinct()
+        else:  # members outside the largest component of their bucket, against at most as many pivots as bands
+            minor = named.join(open_.select("bucket", F.col("m.comp").alias("big"), F.col("m.pivot").alias("pivot")), "bucket").where("comp <> big")
             pairs = minor.where(_fits("n", "pivot.n", percent)).select(F.col("id").alias("x"), F.col("pivot.id").alias("y")).distinct()
             dealt = F.array_sort(F.collect_list(F.struct(F.xxhash64("y", F.lit(turn)).alias("h"), "y")))
             pairs = pairs.groupBy("x").agg(dealt.alias("ys")).select("x", F.explode(F.slice("ys", 1, 4 ** turn)["y"]).alias("y"))
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = staged(pairs, "near-pairs")
+        made = pairs = staged(pairs, "near-pairs")
+        if not last:
+            pairs = staged(_possible(pairs, sets, percent), "near-pairs")
         links = cut(confirmed(pairs, sets, percent))
         if not links.isEmpty():
             labels = _merged(labels, links)
         if last:
             return labels
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = made if tested is None else tested.union(made)
         turn += 1
 
 
