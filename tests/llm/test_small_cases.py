@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import byte_bpe, decontaminate, exact_topk, kd_shards, line_dedup, near_dedup, quality, token_files, toxicity, warc
+from ledgerline.llm import byte_bpe, decontaminate, exact_topk, kd_shards, labelled, line_dedup, near_dedup, quality, token_files, toxicity, warc
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = [None, "", " ", "\n", "a", "\x00", "é ", "words " * 3000, "x" * 40000, "漢字" * 3000]
@@ -330,14 +330,23 @@ def test_nearest_examples_are_exact():
         t = np.sort(rnd.choice(50, rnd.integers(0, 6), replace=False))
         w = rnd.integers(1, 4, len(t)).astype(float)
         vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
-    index = toxicity.BlockMaxIndex(vectors, 50, block=16)
+    index = toxicity.BlockMaxIndex(vectors, 50, block=16, dense=0.06)
+    assert 0 < len(index.dense) < 50
     dense = np.zeros((700, 50))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
     for t, w in [v for v in vectors if len(v[0])][:200]:
         score = dense[:, t] @ w
         want = sorted((-round(s, 12), i) for i, s in enumerate(score) if s > 0)[:15]
-        assert [-round(s, 12) for s, _ in index.nearest(t, w, 15)] == [s for s, _ in want]
+        assert [(-round(s, 12), i) for s, i in index.nearest(t, w, 15)] == want
+
+
+def test_toxicity_sample_is_bounded_and_whole(spark):
+    df = docs_of(spark, ["x" * 10, None, "y" * (1 << 19), "z"]).unionByName(docs_of(spark, ["again"] * 1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    rows = labelled.picked(df, labels, "toxic", F.lit(True), per_class=2, longest=None).collect()
+    assert sorted((r.id, r.label, len(r.text)) for r in rows) == [("0", 0, 5), ("0", 0, 10), ("2", 0, 1 << 19), ("3", 1, 1)]
+    assert len(labelled.picked(df, labels, "toxic", F.lit(True), per_class=1).collect()) == 2
 
 
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])

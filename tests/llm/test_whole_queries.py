@@ -1,16 +1,19 @@
 """Registered queries and the pipeline's stages, every row of the smallest tables against plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from test_small_cases import LOW, brute_groups, brute_hits, brute_lines
 
 import corpus_pipeline
-from ledgerline.llm import byte_bpe, queries, token_files, toxicity
+from ledgerline.llm import byte_bpe, labelled, queries, token_files, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.labelled import fold
 
@@ -44,6 +47,37 @@ def test_op2(spark, texts):
     assert len(got) == len(texts) and {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+def plain_vector(text, idf):
+    """TF-IDF over three-byte pieces of words as a dict of unit length."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    tf = Counter(piece for w in words for b in [f" {w} ".encode()] for piece in (b[k:k + 3] for k in range(len(b) - 2)))
+    v = {t: n ** toxicity.TF * idf[t] for t, n in tf.items() if t in idf}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    return {t: x / size for t, x in v.items()}
+
+
+def test_op3(spark, texts):
+    learn = fold("doc_id", 4) != 2
+    known = table(spark, SF, "labels").where(learn & F.col("toxic").isNotNull())
+    label = {r.doc_id: r.toxic for r in known.collect() if texts.get(r.doc_id) is not None}
+    assert max(Counter(label.values()).values()) < labelled.PER_CLASS
+    df = Counter(t for v in ({t for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[i].translate(LOW)) for b in [f" {w} ".encode()] for t in (b[k:k + 3] for k in range(len(b) - 2))} for i in label) for t in v)
+    idf = {t: math.log(1 + len(label) / (n + 0.5)) ** toxicity.IDF for t, n in df.items()}
+    examples = [(plain_vector(texts[i], idf), y) for i, y in label.items()]
+    model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"), learn)
+    got = run(spark, "op3_toxicity")
+    assert len(got) == len(texts)
+    for r in got:
+        v = plain_vector(texts[r.doc_id], idf)
+        near = sorted(((sum(x * e[t] for t, x in v.items() if t in e), y) for e, y in examples), reverse=True)
+        near = [(s, y) for s, y in near if s > 0][:toxicity.NEIGHBOURS]
+        assert [round(e.similarity, 7) for e in r.evidence] == [round(s, 7) for s, _ in near]
+        if len({round(s, 7) for s, _ in near}) == len(near):  # no ties
+            vote = (sum(s * s * y for s, y in near) + toxicity.PRIOR * model.share) / (sum(s * s for s, _ in near) + toxicity.PRIOR)
+            assert abs(r.score - 1 / (1 + math.exp(-4 * model.slope * vote - model.offset))) < 1e-6
+        assert bool(near) == bool(v) and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_op5(spark, texts):
     tokenizer = token_files.encoder(P.path("word_bpe_49k.json")).tokenizer
     got = sorted(run(spark, "op5_token_files"), key=lambda r: r.start)
