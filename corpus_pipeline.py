@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality, toxicity
+from ledgerline.llm import byte_bpe, decontaminate, line_dedup, near_dedup, toxicity
 from ledgerline.llm.common import ready, staged, table
 from ledgerline.llm.labelled import fold
 
@@ -28,7 +28,7 @@ def _same_columns(new: DataFrame, docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(ready(spark), sf_dir, "labels"), fold("doc_id", 4) != 2)
-    scored = quality.with_scores(docs, model, score_col="__ll_toxicity")
+    scored = toxicity.toxicity(docs, model, score_col="__ll_toxicity", evidence_col=None)
     return scored.where(F.col("__ll_toxicity") < TOXIC).select(*[f"`{c}`" for c in docs.columns])
 
 
