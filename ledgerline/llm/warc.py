@@ -5,15 +5,19 @@ payloads of at least `min_bytes` are kept once: the record with the smallest pag
 revisits that name it.
 
 The index has a line per record, keyed by the reversed host and the rest of the URL, then the page id. Lines are sorted
-over all records, cut into blocks of `BLOCK_LINES` and compressed; the directory has one row per block (first and last
-key, file, offset, length). A lookup searches the directory, reads that block's bytes, searches its lines and reads the
-record's bytes. A full read walks the directory and reads the archives in ranges.
+over all records, cut into blocks of `BLOCK_LINES` and compressed. Each index file ends with its sparse directory, the
+first key and place of each of its blocks, and as files are ranges of the sort, a row per file completes the directory.
+A lookup bisects the files' first keys, then that file's directory, then the lines of one block, and reads the record's
+bytes. `resolve` does that for a table of keys in tasks; a read uses it to find the responses that revisits refer to.
+A full read takes all blocks in order and reads the archives in ranges; tasks hold READ_BYTES of archives each.
 
 Files are written with pyarrow.fs under names of their own for each attempt; only entries that Spark commits count,
 so lost executors and repeated attempts leave nothing double.
 
 Cases: null html is an empty payload; null or hostless URLs have the empty host; null page ids are no key of a
-revisit and stay responses; repeated rows are records of their own; an empty table makes an empty archive.
+revisit and stay responses; repeated rows are records of their own, under one WARC-Record-ID if their page id is one;
+rows with one page id and several payloads are each judged by their own payload; a URL that a header cannot hold as it is
+stands percent-encoded there and as it is in a header beside it; an empty table makes an empty archive.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,11 +45,14 @@ MIN_BYTES = 100
 BLOCK_LINES = 256
 #: Gap up to which neighbouring ranges of a file are read at once, and the most read at once.
 GAP, MOST = 64 << 10, 4 << 20
+#: Bytes of archives that a task reads, and index blocks that a search keeps.
+READ_BYTES, KEPT = 64 << 20, 64
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n"
 
 ENTRIES = "key string, page_id long, url string, type string, file string, offset long, length long"
-DIRECTORY = "first_key string, last_key string, file string, offset long, length long, n int"
+DIRECTORY = "first_key string, last_key string, file string, offset long, length long, n int, foot long, foot_length long"
+FOUND = "key string, page_id long, file string, offset long, length long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -69,15 +77,17 @@ def sort_key(key: str, page_id: int | None) -> str:
     return f"{key}\x00{-1 if page_id is None else page_id:020d}"
 
 
-def _record(page_id: int | None, url: str | None, digest: str, payload: bytes | None, n: int, refers_to: int | None) -> bytes:
+def _record(page_id: int | None, url: str | None, digest: str, payload: bytes | None, n: int, refers_to: int | None, refers_key: str | None) -> bytes:
     """One record; payload is None for a revisit, n the bytes of the full payload."""
     http = HTTP.format(n=n).encode()
     block = http if refers_to is not None else http + (payload or b"")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:{f'uuid:{uuid.uuid4()}' if page_id is None else f'page:{page_id}'}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe=SAFE)}")
+        if lines[-1][17:] != url:
+            lines.append(f"X-Page-URL: {json.dumps(url)}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Refers-To-Key: {json.dumps(refers_key)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -101,15 +111,16 @@ def _page(urn: str | None) -> int | None:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, url, payload, n, digest, refers_to): payload is null for revisits."""
+    """(page_id, url, payload, n, digest, refers_to, refers_key): payload is null for revisits."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"), F.octet_length(html).cast("long").alias("n"), F.sha2(html, 256).alias("digest"))
-    light = staged(base.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest"), "warc-digests")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    # ids of the revisits only; the join with the pages is by page id, which no hot payload skews
-    again = light.join(first, "digest").where("page_id > refers_to").select("page_id", F.col("digest").alias("again"), "refers_to").distinct()
-    out = base.join(again, "page_id", "left").withColumn("refers_to", F.when(F.col("digest") == F.col("again"), F.col("refers_to")))
-    return out.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).drop("again")
+    light = staged(base.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest", url_key(F.col("url")).alias("key")), "warc-digests")
+    least = F.min(F.struct("page_id", "key"))
+    first = light.groupBy("digest").agg(least.alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # ids of the revisits only; the join with the pages is by page id and digest, which no hot payload skews
+    again = light.join(first, "digest").where("page_id > first.page_id").select("page_id", "digest", F.col("first.page_id").alias("refers_to"), F.col("first.key").alias("refers_key"))
+    out = base.join(again.distinct(), ["page_id", "digest"], "left")
+    return out.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
 
 
 def write(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_BYTES) -> Archive:
@@ -126,7 +137,7 @@ def write(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_BYTES)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                data = gzip.compress(_record(r["page_id"], r["url"], r["digest"], r["payload"], r["n"], r["refers_to"]), 4, mtime=0)
+                data = gzip.compress(_record(r["page_id"], r["url"], r["digest"], r["payload"], r["n"], r["refers_to"], r["refers_key"]), 4, mtime=0)
                 out = out or _open(path, True)
                 out.write(data)
                 rows.append({"key": r["key"], "page_id": r["page_id"], "url": r["url"], "type": "response" if r["refers_to"] is None else "revisit", "file": path, "offset": at, "length": len(data)})
@@ -159,7 +170,10 @@ def write(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_BYTES)
         if lines:
             block()
         if out:
+            foot = zlib.compress(json.dumps([[r["first_key"], r["offset"], r["length"]] for r in rows]).encode())
+            out.write(foot)
             out.close()
+            rows = [r | {"foot": at, "foot_length": len(foot)} for r in rows]
         yield pa.RecordBatch.from_pylist(rows, schema=_arrow(DIRECTORY))
 
     ordered = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
@@ -200,6 +214,36 @@ def _lines(data: bytes) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
 
 
+def _files(archive: Archive) -> list[tuple[str, str, int, int]]:
+    """(first key, file, place and length of its directory) of the index files in order: a row per task that wrote one."""
+    of = archive.directory.groupBy("file").agg(F.min("first_key").alias("first_key"), F.max("foot").alias("foot"), F.max("foot_length").alias("foot_length"))
+    return sorted((r.first_key, r.file, r.foot, r.foot_length) for r in of.collect())
+
+
+class Search:
+    """Binary searches of the index: files, then a file's directory, then a block's lines."""
+
+    def __init__(self, files: list[tuple[str, str, int, int]]):
+        self.files, self.firsts = files, [f[0] for f in files]
+        self.directory = lru_cache(maxsize=KEPT)(lambda k: json.loads(zlib.decompress(_range(*self.files[k][1:]))))
+        self.block = lru_cache(maxsize=KEPT)(lambda file, offset, length: _lines(_range(file, offset, length)))
+
+    def lines(self, low: str, high: str) -> Iterator[list]:
+        """The lines whose sort keys are from low to below high."""
+        k = max(0, bisect.bisect_left(self.firsts, low) - 1)
+        while k < len(self.files) and self.firsts[k] < high:
+            blocks = self.directory(k)
+            b = max(0, bisect.bisect_left(blocks, low, key=lambda x: x[0]) - 1)
+            while b < len(blocks) and blocks[b][0] < high:
+                lines = self.block(self.files[k][1], *blocks[b][1:])
+                at = bisect.bisect_left(lines, low, key=lambda x: sort_key(x[0], x[1]))
+                while at < len(lines) and sort_key(lines[at][0], lines[at][1]) < high:
+                    yield lines[at]
+                    at += 1
+                b += 1
+            k += 1
+
+
 def index_lines(archive: Archive) -> DataFrame:
     """All lines of the index, read by the directory's blocks."""
     def run(batches):
@@ -215,45 +259,70 @@ def index_lines(archive: Archive) -> DataFrame:
 
 def _read(record: bytes, with_payload: bool) -> dict:
     headers, http, payload = parse(gzip.decompress(record))
-    row = {"page_id": _page(headers["warc-record-id"]), "url": headers.get("warc-target-uri"), "record_type": headers["warc-type"], "refers_to": _page(headers.get("warc-refers-to"))}
+    url = json.loads(headers["x-page-url"]) if "x-page-url" in headers else headers.get("warc-target-uri")
+    row = {"page_id": _page(headers["warc-record-id"]), "url": url, "record_type": headers["warc-type"], "refers_to": _page(headers.get("warc-refers-to"))}
     if row["record_type"] == "response":
-        row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
+        row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "refers_key": None}
         if with_payload:
             row["payload"] = payload
     else:  # the block of a revisit is the HTTP header of the full payload
         n = re.search(rb"(?im)^content-length: *(\d+)", http)
-        row |= {"payload_bytes": int(n[1]), "payload_digest": headers["warc-payload-digest"].partition(":")[2]}
+        row |= {"payload_bytes": int(n[1]), "payload_digest": headers["warc-payload-digest"].partition(":")[2], "refers_key": json.loads(headers["x-refers-to-key"])}
     return row
 
 
-def read(archive: Archive, with_payload: bool = False) -> DataFrame:
-    """Every record, read from the archives by the index: RECORDS, and the payload of responses if asked for."""
-    schema = RECORDS + (", payload binary" if with_payload else "")
+def _tasks(archive: Archive) -> int:
+    """Tasks for a read of all archives."""
+    size = archive.entries.agg(F.sum("length")).first()[0] or 0
+    return int(max(1, -(-size // READ_BYTES), min(archive.entries.sparkSession.sparkContext.defaultParallelism, size >> 20)))
+
+
+def resolve(archive: Archive, wanted: DataFrame) -> DataFrame:
+    """FOUND for each row of wanted (key, page_id) that the index has: where its responses are."""
+    files = archive.entries.sparkSession.sparkContext.broadcast(_files(archive))
 
     def run(batches):
+        search = Search(files.value)
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))))
-            yield pa.RecordBatch.from_pylist([_read(x, with_payload) for x in _ranges(rows)], schema=_arrow(schema))
+            rows = []
+            for key, page in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id"))):
+                low = sort_key(key, page)
+                hits = [x for x in search.lines(low, low + "\x01") if x[2] == "response"]
+                rows += [{"key": key, "page_id": page, "file": x[3], "offset": x[4], "length": x[5]} for x in hits]
+            yield pa.RecordBatch.from_pylist(rows, schema=_arrow(FOUND))
+
+    # neighbours in the index are searched together, so a block is read once or twice
+    return wanted.select("key", "page_id").distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, FOUND)
+
+
+def read(archive: Archive, with_payload: bool = False) -> DataFrame:
+    """Every record, read from the archives by the index: RECORDS, and the payload of responses if asked for. A revisit
+    has the size and digest of its response, which is looked up; where that is missing, those of its own header."""
+    schema = RECORDS + ", refers_key string" + (", payload binary" if with_payload else "")
+
+    def records(where: DataFrame, schema: str, tasks: int) -> DataFrame:
+        kind = _arrow(schema)
+
+        def run(batches):
+            for batch in batches:
+                rows = list(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))))
+                yield pa.RecordBatch.from_pylist([_read(x, with_payload) for x in _ranges(rows)], schema=kind)
+
+        return where.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, schema)
 
-    lines = index_lines(archive).repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return lines.select("file", "offset", "length").mapInArrow(run, schema)
+    tasks = _tasks(archive)
+    every = staged(records(index_lines(archive), schema, tasks), "warc-records")
+    found = resolve(archive, every.where("record_type = 'revisit'").select(F.col("refers_key").alias("key"), F.col("refers_to").alias("page_id")))
+    first = records(found, RECORDS + ", refers_key string", tasks).groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("first_bytes"))
+    first = first.select(F.col("page_id").alias("refers_to"), "payload_digest", "first_bytes")
+    out = every.join(first, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", F.coalesce("first_bytes", "payload_bytes"))
+    return out.select(*[f.split()[0] for f in (RECORDS + (", payload binary" if with_payload else "")).split(", ")])
 
 
 def lookup(archive: Archive, url: str) -> list[dict]:
-    """The captures of one URL with their payloads: two binary searches and range reads."""
-    spark = archive.directory.sparkSession
-    key = spark.range(1).select(url_key(F.lit(url))).first()[0]
-    low, high = sort_key(key, None), f"{key}\x01"
-    # blocks that may hold the key; the filter reaches the Parquet statistics of the directory
-    blocks = archive.directory.where((F.col("first_key") < high) & (F.col("last_key") >= low)).orderBy("first_key").collect()
-    found = []
-    for b in blocks:
-        lines = _lines(_range(b.file, b.offset, b.length))
-        a = bisect.bisect_left(lines, low, key=lambda x: sort_key(x[0], x[1]))
-        while a < len(lines) and lines[a][0] == key:
-            found.append(_read(_range(*lines[a][3:]), True))
-            a += 1
-    return found
+    """The captures of one URL with their payloads: binary searches and range reads."""
+    key = archive.directory.sparkSession.range(1).select(url_key(F.lit(url))).first()[0]
+    return [_read(_range(*x[3:]), True) for x in Search(_files(archive)).lines(sort_key(key, None), f"{key}\x01")]
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
