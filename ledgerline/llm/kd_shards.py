@@ -6,12 +6,13 @@ The medians of all nodes of a level are found together: three rounds of a histog
 of at most 4096 rows per node and task. No node is ever sorted or gathered.
 
 Dimensions: size (logarithmic), source, language and a content fingerprint. Copies of a text take the
-metadata of their first document and one tie-break, so they stay together; a group of copies that holds more than
-1/1024 of all bytes is sliced by a hash of the document id, so that it can be split like any other weight.
+metadata of their first document and one tie-break, so they stay together; only a group of copies of more bytes than a
+shard's share is sliced, by a hash of the document id, so that it can be split like any other weight.
 
 The law is `bytes`: every split leaves the two sides within the weight of one 36-bit key of each other.
 
-Cases: null texts weigh 1 byte; null lang or source is a value of its own; repeated rows count each; a table with
+Cases: null texts weigh 1 byte; null lang or source is a value of its own; repeated rows count each, those with
+one id are numbered by the content of their text; a table with
 fewer rows than shards leaves shards empty; an empty table gives an empty table; a null id is an id like any other.
 """
 
@@ -25,6 +26,7 @@ from ledgerline.session import checkpointed as cut
 from .common import staged, table
 
 BITS, ROUNDS, TIE_BITS = 12, 3, 20
+#: Slices of a group that had all bytes.
 SLICES = 1024
 #: Cuts (three numbers each) up to which they are broadcast.
 MOST_SENT = 1 << 16
@@ -37,21 +39,25 @@ def _unit(hashed: Column) -> Column:
     return F.pmod(hashed, F.lit(1 << 16))
 
 
-def coordinates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(id, size, crc, d0..dn, tie): a light row per document, staged in the shared folder."""
+def light_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """(id, size, crc, h, meta): a row per document without its text, staged in the shared folder."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    light = staged(docs.select(
+    return staged(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"),
         F.xxhash64(text).alias("h"), F.struct(F.col(id_col).alias("id"), *[F.xxhash64(F.lit(n), F.col(c)).alias(f"x{n}") for n, c in enumerate(dims)]).alias("meta")), "kd-light")
-    total = light.agg(F.sum("size")).first()[0] or 1
+
+
+def coordinates(light: DataFrame, total: int, shards: int, n_dims: int) -> DataFrame:
+    """(id, size, crc, d0..dn, tie) of light_rows() of `total` bytes that go to so many shards."""
     groups = light.groupBy("h", "size").agg(F.count("*").alias("copies"), F.min("meta").alias("first"))
-    slices = F.ceil(F.col("copies") * F.col("size") * SLICES / F.lit(float(total)))
+    weight = F.col("copies") * F.col("size")
+    slices = F.when(weight * shards <= total, F.lit(1)).otherwise(F.ceil(weight * SLICES / F.lit(float(total))))
     rows = light.join(groups, ["h", "size"])
     part = F.when(slices <= 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), slices))
     size = F.least(F.floor(F.log2(F.col("size").cast("double")) * 2048), F.lit((1 << 16) - 1))
     out = rows.select(
         "id", "size", "crc", size.cast("long").alias("d0"), _unit(F.xxhash64("h", part)).alias("d1"),
-        *[_unit(F.col(f"first.x{n}")).alias(f"d{n + 2}") for n in range(len(dims))],
+        *[_unit(F.col(f"first.x{n}")).alias(f"d{n + 2}") for n in range(n_dims)],
         F.pmod(F.xxhash64("h", F.lit(7), part), F.lit(1 << TIE_BITS)).alias("tie"))
     return staged(out, "kd-rows")
 
@@ -100,28 +106,29 @@ def kd_assign(rows: DataFrame, depth: int, n_dims: int) -> DataFrame:
     return out
 
 
-def with_slots(rows: DataFrame, shard: str, order: str) -> DataFrame:
+def with_slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
     """`slot`: gapless from 0 in each shard. Rows are numbered in blocks of bounded size; blocks get offsets."""
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    rows = rows.withColumn("__ll_block", F.pmod(F.xxhash64(order), F.lit(blocks)))
+    rows = rows.withColumn("__ll_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     sizes = rows.groupBy(shard, "__ll_block").agg(F.count("*").alias("__ll_n"))
     # blocks per shard: one row for each 4096 rows of the table
     before = F.sum("__ll_n").over(Window.partitionBy(shard).orderBy("__ll_block")) - F.col("__ll_n")
     offsets = sizes.select(shard, "__ll_block", before.alias("__ll_before"))
-    at = F.row_number().over(Window.partitionBy(shard, "__ll_block").orderBy(order)) - 1
+    at = F.row_number().over(Window.partitionBy(shard, "__ll_block").orderBy(*order)) - 1
     return rows.withColumn("__ll_at", at).join(offsets, [shard, "__ll_block"]).withColumn("slot", F.col("__ll_before") + F.col("__ll_at")).drop("__ll_block", "__ll_before", "__ll_at")
 
 
 def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(id, size, crc, shard, slot) of each document. Give target_bytes (largest leaf) or shards, a power of two."""
-    rows = coordinates(docs, id_col, text_col, dims)
+    light = light_rows(docs, id_col, text_col, dims)
+    total = light.agg(F.sum("size")).first()[0] or 1
     if shards is None:
-        total = rows.agg(F.sum("size")).first()[0] or 1
         shards = 1 << max(0, (-(-total // target_bytes) - 1).bit_length())
     if shards & (shards - 1):
         raise ValueError("shards must be a power of two")
+    rows = coordinates(light, total, shards, len(dims))
     leaves = kd_assign(rows, shards.bit_length() - 1, 2 + len(dims)).select("id", "size", "crc", F.col("node").alias("shard"))
-    return with_slots(staged(leaves, "kd-leaves"), "shard", "id")
+    return with_slots(staged(leaves, "kd-leaves"), "shard", ["id", "crc", "size"])
 
 
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
