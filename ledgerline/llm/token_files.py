@@ -100,9 +100,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            parts = json.load(f)["pre_tokenizer"]["pretokenizers"]
+            model = json.load(f)
+        parts = model["pre_tokenizer"]["pretokenizers"]
+        # Arrow splits at these, the tokenizer doesn't; added tokens may stand within a word, and only as written
+        self.odd = "|".join(["[\x1c-\x1f]", *("(?i:" + re.escape(x["content"]) + ")" for x in model.get("added_tokens", []))])
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -129,7 +131,7 @@ class WordEncoder:
         return out
 
     def _some(self, texts: pa.Array, end: bytes) -> list[bytes]:
-        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         lists = pc.utf8_split_whitespace(pc.ascii_lower(texts))
         coded = pc.dictionary_encode(lists.flatten())
         distinct = [self._chunk(c) for c in coded.dictionary.to_pylist()]
@@ -143,7 +145,7 @@ class WordEncoder:
         ids = flat[np.repeat(begin[index] - upto[:-1], n) + np.arange(upto[-1])].tobytes() if len(index) else b""
         ends = (upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * self.dtype.itemsize).tolist()
         out = [ids[a:b] + end for a, b in zip(ends, ends[1:])]
-        for k in np.flatnonzero(odd).tolist():  # Arrow splits there, the tokenizer doesn't
+        for k in np.flatnonzero(odd).tolist():
             out[k] = self._whole(texts[k].as_py()) + end
         return out
 
