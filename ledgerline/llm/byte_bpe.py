@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import spread, table, utf8
 
-LEAF = 1 << 14
+#: Characters (or ids, in decoding) up to which a part is not halved.
+LEAF = 1 << 8
 #: Characters in which a hard edge is looked for at first; more bytes than any token has.
 WINDOW = 256
 
