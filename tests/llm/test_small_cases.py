@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from ledgerline.llm import byte_bpe, decontaminate, exact_topk, kd_shards, labelled, line_dedup, near_dedup, quality, token_files, toxicity, warc
@@ -151,13 +152,25 @@ def test_line_dedup_against_loop(spark):
     assert line_dedup.line_dedup(docs_of(spark, [])).count() == 0
 
 
-def test_runs_compact_and_mark_fresh(spark):
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    line = "a line that stands in many documents, long enough"
+    rows = [(i, line) for i in range(6)] + [(3, f"keep me\n{line}"), (3, line), (None, line), (None, None)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in got if r.doc_id == 3) == [(3, "", 1), (3, "", 1), (3, "keep me", 1)]
+    assert sorted(((r.text or ""), r.n_dropped) for r in got if r.doc_id is None) == [("", 0), (line, 0)]
+    assert [r.text for r in got if r.doc_id == 5] == [line] and len(got) == len(rows)
+
+
+def test_runs_compact_and_keep_the_first_holder(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     lines = lambda rows: spark.createDataFrame(rows, "doc long, pos int, k1 long, k2 long")
-    for b in range(4):
+    for b in range(3, -1, -1):
         runs.add(lines([(b, 0, 1, 1), (b, 0, 2 + b, 0)]))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
     assert sorted((r.k1, r.n_docs, r.last_doc) for r in runs.merged().collect()) == [(1, 4, 3), (2, 1, 0), (3, 1, 1), (4, 1, 2), (5, 1, 3)]
+    runs.add(lines([(-1, 0, 1, 1), (-1, 0, 9, 9)]))
+    own = spark.read.parquet(runs.levels[0][0]).collect()
+    assert sorted((r.k1, r.n_docs, r.last_doc, r.fresh) for r in own) == [(1, 1, None, False), (9, 1, -1, True)]
 
 
 # --- decontamination ---
@@ -219,10 +232,12 @@ def test_packing_round_trip():
 def test_word_encoder_is_the_tokenizer():
     rnd = random.Random(3)
     own = token_files.encoder(P.path("word_bpe_49k.json"))
-    parts = ["a", "The", " ", "\n", "'s", "’", "é", "É", "Σ", "İ", "ß", "1", "²", "漢", "\x85", "\xa0", "\x1c", "é", "́", "_", "-", "🙂", "​", "<|endoftext|>", "\x00", " "]
+    parts = ["a", "The", " ", "\n", "'s", "’", "é", "É", "Σ", "İ", "ß", "1", "²", "漢", "\x85", "\xa0", "\x1c", "é", "́", "_", "-", "🙂", "​", "<|endoftext|>", "<|ENDOFTEXT|>", "\x00", " "]
     texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(2000)]
+    plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     for s, ids in zip(texts, own.encode_batch(pa.array([t.encode() for t in texts], pa.binary()))):
-        assert np.frombuffer(ids, dtype=own.dtype).tolist() == own.tokenizer.encode(s, add_special_tokens=False).ids
+        assert np.frombuffer(ids, dtype=own.dtype).tolist() == plain.encode(s, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode("hello <|endoftext|> world"), dtype=own.dtype).tolist()[1] == 49407
 
 
 def test_token_files_read_back(spark):
@@ -258,12 +273,28 @@ def test_warc_records_and_lookup(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_records_of_repeated_page_ids(spark):
+    a, b = "a" * 120, "b" * 120
+    rows = [(1, "u://h/1", a), (2, "u://h/2", b), (5, "u://h/5 ü", a), (5, "u://h/5", b), (2, "u://h/2", "c" * 120)]
+    archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = warc.read(archive).collect()
+    digest = {x: hashlib.sha256(x.encode()).hexdigest() for x in (a, b, "c" * 120)}
+    want = [(1, "u://h/1", 120, digest[a], "response", None), (2, "u://h/2", 120, digest[b], "response", None), (5, "u://h/5 ü", 120, digest[a], "revisit", 1), (5, "u://h/5", 120, digest[b], "revisit", 2), (2, "u://h/2", 120, digest["c" * 120], "response", None)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    found = warc.resolve(archive, spark.createDataFrame([("h)/1", 1), ("h)/2", 2), ("h)/5", 5), ("x)/", 1)], "key string, page_id long")).collect()
+    assert sorted(r.page_id for r in found) == [1, 2, 2]
+
+
 def test_index_blocks_are_searched(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}", f"<p>{i}</p>") for i in range(1200)], "page_id long, url string, html string")
     archive = warc.write(pages)
     assert archive.directory.count() >= 4
     for i in (0, 257, 1199):
         assert [r["page_id"] for r in warc.lookup(archive, f"http://h{i % 7}.org/{i}")] == [i]
+    every = warc.index_lines(archive).select("key", "page_id", "file", "offset", "length")
+    assert sorted(every.collect()) == sorted(warc.resolve(archive, every).collect())
+    same = warc.write(spark.createDataFrame([(i % 2, "http://h.org/", f"<p>{i}</p>") for i in range(900)], "page_id long, url string, html string"))
+    assert len(warc.lookup(same, "http://h.org/")) == 900
 
 
 # --- exact top-k ---
@@ -302,7 +333,7 @@ def test_topk_prunes_by_coordinate(spark):
 
 def test_shards_are_even_whole_and_gapless(spark):
     rnd = random.Random(2)
-    texts = ODD + ["copy " * 20] * 300 + ["".join(rnd.choices("abc é", k=rnd.randint(0, 400))) for _ in range(700)]
+    texts = ODD + ["copy " * 20] * 400 + ["pair " * 20] * 30 + ["".join(rnd.choices("abc é", k=rnd.randint(0, 400))) for _ in range(700)]
     df = clashing(docs_of(spark, texts).withColumns({"lang": F.when(F.col("doc_id") % 3 == 0, "a"), "source": F.lit("hot")}))
     got = kd_shards.kd_shards(df, shards=8).collect()
     assert sorted(r.id for r in got) == list(range(len(texts)))
@@ -313,6 +344,9 @@ def test_shards_are_even_whole_and_gapless(spark):
         sizes[r.shard] += r["size"]
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots)
+    # a group below a shard's share stays whole, one above it does not fit
+    assert len({r.shard for r in got if texts[r.id] == "pair " * 20}) == 1
+    assert 400 * 101 > sum(sizes) / 8 > 30 * 101
     assert max(sizes) - min(sizes) <= 2 * max(len((t or "").encode()) + 1 for t in texts)
     small = ["x" * rnd.randint(1, 50) + str(i) for i in range(2000)]
     even = kd_shards.kd_shards(docs_of(spark, small).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s")}), target_bytes=4000).groupBy("shard").agg(F.sum("size").alias("b")).collect()

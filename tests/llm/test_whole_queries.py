@@ -10,10 +10,11 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from test_small_cases import LOW, brute_groups, brute_hits, brute_lines
 
 import corpus_pipeline
-from ledgerline.llm import byte_bpe, labelled, queries, token_files, toxicity
+from ledgerline.llm import byte_bpe, labelled, queries, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.labelled import fold
 
@@ -79,7 +80,7 @@ def test_op3(spark, texts):
 
 
 def test_op5(spark, texts):
-    tokenizer = token_files.encoder(P.path("word_bpe_49k.json")).tokenizer
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     got = sorted(run(spark, "op5_token_files"), key=lambda r: r.start)
     assert sorted(r.doc_id for r in got) == sorted(texts)
     start = 0
