@@ -1,9 +1,9 @@
 """Benchmark decontamination by a generalised suffix automaton of the benchmark's words.
 
 The automaton of a chunk of items (at most `chunk_words` words, so the broadcast has a fixed bound) is built on
-the driver and broadcast. Documents stream their words through it; at each word the automaton's state and
-matching length say which windows end there. Items beyond one chunk get automata of their own, and the documents
-pass through one after the other in the same tasks: nothing is shuffled.
+the driver and broadcast as flat arrays. Documents stream their words through it; at each word the automaton's state and
+matching length say which windows end there. Items beyond one chunk get automata of their own, one after the other:
+each pass over the documents is staged before the next automaton is built. Nothing is shuffled.
 
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. A word of
 a document inside an occurrence of a window is hit.
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _NOT_WORD, plain_words, spread, table, utf8
+from .common import _NOT_WORD, plain_words, spread, staged, table, utf8
 
 WINDOW = 10
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 250_000
 
 
 class SuffixAutomaton:
@@ -47,6 +49,7 @@ class SuffixAutomaton:
             for w in words:
                 last = self._extend(last, w)
         self._mark(coded)
+        self._flatten()
         self.pairs = np.unique(np.array([a * len(self.ids) + b for words in coded for a, b in zip(words, words[1:])], dtype=np.int64))
         self.singles = any(len(words) == 1 for words in coded)
 
@@ -105,6 +108,22 @@ class SuffixAutomaton:
             self.near[state] = state if self.short[state] else self.near[up]
         self.whole = [tuple(x) for x in whole]
 
+    def _flatten(self) -> None:
+        """Transitions as sorted numbers, state * words + word, beside the states they lead to; the rest as arrays too:
+        12 bytes a transition and 16 a state, where dictionaries take hundreds."""
+        n = len(self.ids)
+        edges = sorted((state * n + w, to) for state, own in enumerate(self.go) for w, to in own.items())
+        self.edge, self.to = array("q", [e for e, _ in edges]), array("i", [t for _, t in edges])
+        self.link, self.length, self.full, self.near = (array("i", x) for x in (self.link, self.length, self.full, self.near))
+        self.whole = {k: x for k, x in enumerate(self.whole) if x}
+        self.short = {k: x for k, x in enumerate(self.short) if x}
+        del self.go
+
+    def _next(self, state: int, w: int) -> int | None:
+        key = state * len(self.ids) + w
+        at = bisect_left(self.edge, key)
+        return self.to[at] if at < len(self.edge) and self.edge[at] == key else None
+
     def hits(self, words: list[bytes], found: set[int]) -> list[tuple[int, int]]:
         """Ranges [from, to) of the words that are hit, merged and in order; found gets the items."""
         if not words or not self.ids:
@@ -139,24 +158,24 @@ class SuffixAutomaton:
     def shortest(self) -> int:
         """Words of the shortest window of two words or more."""
         if not hasattr(self, "_shortest"):
-            self._shortest = min([self.window, *(x[0] for x in self.short if x and x[0] > 1)])
+            self._shortest = min([self.window, *(x[0] for x in self.short.values() if x[0] > 1)])
         return self._shortest
 
     def _stream(self, code: list[int], offset: int, out: list[tuple[int, int]], found: set[int]) -> None:
-        go, link, length, window = self.go, self.link, self.length, self.window
+        step, link, length, window = self._next, self.link, self.length, self.window
         state = n = 0
         for i, w in enumerate(code, offset + 1):
-            nxt = go[state].get(w)
+            nxt = step(state, w)
             while nxt is None and state:
                 state = link[state]
                 n = length[state]
-                nxt = go[state].get(w)
+                nxt = step(state, w)
             if nxt is None:
                 continue
             state, n = nxt, n + 1
             if n >= window:
                 at = self.full[state]
-                if self.whole[at]:
+                if at in self.whole:
                     found.update(self.whole[at])
                     out.append((i - window, i))
             near = self.near[state]
@@ -185,7 +204,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
     new_cols = {"hit_from": ints, "hit_to": ints, "cut_from": ints, "cut_to": ints, "hit_items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")}
     kinds = (*[pa.list_(pa.int32())] * 4, pa.list_(pa.string()), pa.int64())
     out = docs.withColumns(new_cols).withColumn("__ll_text", utf8(text_col))
+    shared = None
     for ids, words in _chunks(benchmark, item_id, item_text, chunk_words):
+        if shared is not None:
+            out = staged(out, "hits")
+            shared.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((SuffixAutomaton(words, window), [str(i) for i in ids])))
 
         def run(batches, shared=shared, new_cols=tuple(new_cols)):
