@@ -1,7 +1,7 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates are read once per chunk of queries (a chunk has a fixed number of queries, so its broadcast has a fixed bound)
-and are never shuffled. In each Arrow batch vectors are grouped into buckets of nearly equal length, longest first.
+Candidates are read once per chunk of queries (a chunk has a fixed number of queries, so its broadcast has a fixed bound;
+chunks run one after the other, each staged) and are never shuffled. In each Arrow batch vectors are grouped into buckets of nearly equal length, longest first.
 The k-th best score so far of a query, over its length and the bucket's largest, is the cosine that a vector of the
 bucket must reach. Where that is above 1 the bucket, and with it all shorter ones, is pruned by length; where it is
 high the query's largest coordinates bound the coordinates of a match and only vectors within are verified; else
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import spread, staged, table
 
 SCALE = 256.0
 CHUNK = 16_384
@@ -129,6 +129,12 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.found[q, k]), pa.array(self.score[q, k].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The first k of each query: of k rows per query and task at most, which Spark prunes again before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.select("query_id", "vec_id", "score").withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer products of each row where is_query holds."""
     spark = vectors.sparkSession
@@ -157,10 +163,11 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
             yield search.rows()
 
         part = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        if chunks > 1:  # one chunk after the other, so that one is held at a time
+            part = staged(_best(part, k), "topk")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
-    # k rows per query and task at most; task results below the best so far are pruned at the source
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _best(out, k)
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
