@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,22 @@ def differs(x1: Column, n1: Column, x2: Column, n2: Column, errors: float = 2.0)
 def percent_change(log_change: Column) -> Column:
     """A log change as a percentage."""
     return F.expm1(log_change) * 100
+
+
+def mean_ranks(df: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:
+    """(keys, value, rank): the mean rank of each value in its group, from the counts of values."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy(value)) - F.col("__c")
+    return counts.select(*keys, value, (before + (F.col("__c") + 1) / 2).alias(rank))
+
+
+def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, spearman): Pearson's correlation of mean ranks over rows that have both values."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("__n"))
+    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = rows.join(mean_ranks(whole, keys, x, "__x"), [*keys, x]).join(mean_ranks(whole, keys, y, "__y"), [*keys, y])
+    n, a, b = F.sum("__n"), F.col("__x"), F.col("__y")
+    w = F.col("__n")
+    top = n * F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b)
+    low = F.sqrt(n * F.sum(w * a * a) - F.sum(w * a) * F.sum(w * a)) * F.sqrt(n * F.sum(w * b * b) - F.sum(w * b) * F.sum(w * b))
+    return rows.groupBy(*keys).agg(F.when(low > 0, top / low).alias("spearman"))
