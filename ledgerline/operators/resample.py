@@ -10,7 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+# Fixed values in all generators and defaults below: the multiplier and increment of the generator, the seed
+# 20261001, 400 rounds, blocks of 12 months.
 
 
 def lcg(seed: int, n: int) -> np.ndarray:
@@ -35,8 +41,9 @@ def jumped(seed: int, k: int) -> int:
     return x
 
 
-def draws(seed: int, rounds: int, n: int) -> np.ndarray:
-    """rounds x n row numbers below n; blocks of the generator are jumped to, so all rounds are made at once."""
+def draws(seed: int, rounds: int, n: int, scaled: bool = True) -> np.ndarray:
+    """rounds x n row numbers below n (not scaled: draws in [0, 1)); blocks of the generator are jumped to, so all
+    rounds are made at once."""
     total = rounds * n
     step = 1 << 12
     first = np.empty(min(step, total), dtype=np.uint64)
@@ -54,22 +61,184 @@ def draws(seed: int, rounds: int, n: int) -> np.ndarray:
         part = (part * np.uint64(a) + np.uint64(c)) & np.uint64(m)
         parts.append(part)
     u = np.concatenate(parts)[:total] / 2.0**32
-    return (u * n).astype(np.int64).reshape(rounds, n)
+    return (u * n).astype(np.int64).reshape(rounds, n) if scaled else u.reshape(rounds, n)
+
+
+#: Values that a kernel draws at once.
+AT_ONCE = 1 << 21
+
+
+def _uniform(seed: int, skip: int, n: int) -> np.ndarray:
+    """n draws of lcg's generator in [0, 1), `skip` draws after seed."""
+    return draws(jumped(seed, skip), 1, n, scaled=False)[0]
+
+
+def median_sims(a: int, b: int, values: np.ndarray, seed: int = 20261001) -> np.ndarray:
+    """Medians of resampled values in rounds a to b."""
+    n, out = len(values), np.empty(b - a)
+    step = max(1, AT_ONCE // max(1, n))
+    for x in range(a, b, step):
+        y = min(b, x + step)
+        rows = draws(jumped(seed, x * n), y - x, n)
+        out[x - a:y - a] = np.median(values[rows], axis=1)
+    return out
 
 
 def median_interval(values: np.ndarray, rounds: int = 400, seed: int = 20261001, tail: float = 0.05) -> tuple[float, float]:
-    """The percentile interval of the median over resampled values; draws are held for some rounds at a time."""
+    """The percentile interval of the median over resampled values."""
     if not len(values):
         return np.nan, np.nan
-    medians = np.empty(rounds)
-    step = max(1, (1 << 22) // len(values))
-    for a in range(0, rounds, step):
-        rows = draws(jumped(seed, a * len(values)), min(step, rounds - a), len(values))
-        medians[a:a + step] = np.median(values[rows], axis=1)
-    medians.sort()
+    medians = np.sort(median_sims(0, rounds, values, seed))
     return float(medians[int(rounds * tail)]), float(medians[int(rounds * (1 - tail))])
 
 
+def level_gap(recent_a: np.ndarray, log_a: np.ndarray, recent_b: np.ndarray, log_b: np.ndarray, area: float = 84.0) -> np.ndarray:
+    """How much the gap of b over a grew, row by row: a level is a median, its base the level before the median change."""
+    def level(recent, log):
+        now = np.median(recent, axis=-1) * area
+        return now, now / np.exp(np.median(log, axis=-1))
+
+    (now_a, was_a), (now_b, was_b) = level(recent_a, log_a), level(recent_b, log_b)
+    return now_b - now_a - (was_b - was_a)
+
+
+def gap_sims(a: int, b: int, recent_a: np.ndarray, log_a: np.ndarray, recent_b: np.ndarray, log_b: np.ndarray, seed: int = 20261001) -> np.ndarray:
+    """level_gap in rounds a to b; a round draws the cells of a, then those of b."""
+    n_a, n_b, out = len(recent_a), len(recent_b), np.empty(b - a)
+    n = n_a + n_b
+    step = max(1, AT_ONCE // n)
+    for x in range(a, b, step):
+        y = min(b, x + step)
+        u = _uniform(seed, x * n, (y - x) * n).reshape(y - x, n)
+        i, j = (u[:, :n_a] * n_a).astype(np.int64), (u[:, n_a:] * n_b).astype(np.int64)
+        out[x - a:y - a] = level_gap(recent_a[i], log_a[i], recent_b[j], log_b[j])
+    return out
+
+
+def stratum_sums(a: int, b: int, hit: np.ndarray, low: np.ndarray, high: np.ndarray, skip: int, total: int, seed: int = 20261001) -> np.ndarray:
+    """For rounds a to b, four columns: of the stratum's rows in the low and in the high band, how far their hits exceed
+    what the stratum's share gives, and their number. skip: rows of earlier strata; total: rows of all."""
+    n, out = len(hit), np.empty((b - a, 4))
+    for x in range(a, b):
+        rows = (_uniform(seed, x * total + skip, n) * n).astype(np.int64)
+        h, base = hit[rows], hit[rows].mean()
+        out[x - a] = [v for band in (low[rows], high[rows]) for v in ((h[band] - base).sum(), band.sum())]
+    return out
+
+
+def mersenne(seed: int, n: int) -> np.ndarray:
+    """The first n draws of random.Random(seed).random()."""
+    return np.random.RandomState([seed]).random_sample(n)
+
+
+def cluster_sims(a: int, b: int, values: np.ndarray, sizes: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Medians of the values of whole clusters drawn with replacement, rounds a to b; values stand cluster by cluster."""
+    k, begin = len(sizes), np.cumsum(sizes) - sizes
+    picked = (mersenne(seed, b * k)[a * k:] * k).astype(np.int64).reshape(b - a, k)
+    out = np.empty(b - a)
+    for x, own in enumerate(picked):
+        n = sizes[own]
+        out[x] = np.median(values[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    return out
+
+
+def jitter(values: np.ndarray, sizes: np.ndarray, seed: int = 2, rounds: int = 50, drop: float = 0.1) -> float:
+    """The range of the median over rounds that leave out a tenth of the clusters."""
+    import random
+
+    rng, of, k = random.Random(seed), np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+    medians = []
+    for _ in range(rounds):
+        left = np.ones(k, dtype=bool)
+        left[rng.sample(range(k), int(k * drop))] = False
+        medians.append(np.median(values[left[of]]))
+    return float(max(medians) - min(medians))
+
+
+# The constants of mulberry32 and of 32-bit FNV-1a.
+STEP, FNV_START, FNV_PRIME = 0x6D2B79F5, 0x811C9DC5, 0x01000193
+
+
+def key_seed(key: str, seed: int) -> int:
+    """A seed for a key: FNV-1a over its characters from a start that depends on `seed`."""
+    h = (FNV_START ^ seed) & 0xFFFFFFFF
+    for c in key:
+        h = (h ^ ord(c)) * FNV_PRIME & 0xFFFFFFFF
+    return h
+
+
+def mulberry(seed: int, skip: int, n: int) -> np.ndarray:
+    """n draws of mulberry32 after `skip`; each depends on its number alone."""
+    m = np.uint64(0xFFFFFFFF)
+    a = (np.uint64(seed) + np.arange(skip + 1, skip + n + 1, dtype=np.uint64) * np.uint64(STEP)) & m
+    t = (a ^ a >> np.uint64(15)) * (a | np.uint64(1)) & m
+    t ^= t + ((t ^ t >> np.uint64(7)) * (t | np.uint64(61)) & m) & m
+    return ((t ^ t >> np.uint64(14)) & m) / 2.0**32
+
+
+def yoy_sims(a: int, b: int, was: np.ndarray, now: np.ndarray, rate_was: float, rate_now: float, seed: int) -> np.ndarray:
+    """Relative change of the median's cost in rounds a to b; a round draws the earlier values, then the later."""
+    n, m = len(was), len(now)
+    u = mulberry(seed, a * (n + m), (b - a) * (n + m)).reshape(b - a, n + m)
+    before, after = np.median(was[(u[:, :n] * n).astype(np.int64)], axis=1), np.median(now[(u[:, n:] * m).astype(np.int64)], axis=1)
+    return after * rate_now / (before * rate_was) - 1
+
+
+def binomial_interval(k: np.ndarray, n: np.ndarray, level: float = 0.95, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Clopper and Pearson's exact interval of shares k / n, by bisection of binomial tails."""
+    from math import lgamma
+
+    low, high = np.zeros(len(k)), np.ones(len(k))
+    for i, (x, m) in enumerate(zip(k.tolist(), n.tolist())):
+        at = np.arange(m + 1)
+        ways = lgamma(m + 1) - np.array([lgamma(j + 1) + lgamma(m - j + 1) for j in at])
+
+        def tail(p: float, upper: bool) -> float:
+            own = at[x:] if upper else at[:x + 1]
+            return float(np.exp(ways[own] + own * np.log(p) + (m - own) * np.log1p(-p)).sum())
+
+        for upper in (True, False):
+            if (x == 0 and upper) or (x == m and not upper):
+                continue
+            a, b = 0.0, 1.0
+            for _ in range(steps):
+                mid = (a + b) / 2
+                more = tail(mid, upper) < (1 - level) / 2
+                a, b = (mid, b) if more == upper else (a, mid)
+            (low if upper else high)[i] = (a + b) / 2
+    return low, high
+
+
+def by_slices(groups: DataFrame, keys: list[str], arrays: list[str], kernel: Callable[..., np.ndarray], rounds: int, slices: int = 4) -> DataFrame:
+    """(keys, sims): kernel(a, b, *arrays) over slices of rounds, each in a task of its own, put together in order.
+
+    groups has a row per group with its values as arrays; a group's values and `rounds` results are held at once.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+    step = -(-rounds // slices)
+    rows = groups.select(*keys, *arrays, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(step))).alias("__a"))
+    cores = groups.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in batch.schema.names]
+            sims = []
+            for row in zip(*cols):
+                own = [np.asarray(v) if isinstance(v, list) else v for v in row[len(keys):-1]]
+                sims.append(kernel(row[-1], min(rounds, row[-1] + step), *own))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("__a"), pa.array(sims, pa.list_(pa.float64()))], names=[*keys, "__a", "sims"])
+
+    out = rows.repartition(cores, *keys, "__a").mapInArrow(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["__a int", "sims array<double>"]))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__a", "sims"))), lambda x: x["sims"]))
+    return out.groupBy(*keys).agg(whole.alias("sims"))
+
+
+def interval(sims: str, rounds: int, tail: float = 0.05) -> tuple[Column, Column]:
+    """The percentile interval of simulated values."""
+    own = F.array_sort(sims)
+    return F.element_at(own, int(rounds * tail) + 1), F.element_at(own, int(rounds * (1 - tail)) + 1)
+
+
 def block_win_share(differences: np.ndarray, rounds: int = 1000, block: int = 12, seed: int = 20261001) -> float:
     """The share of block resamples in which the mean difference is positive."""
     n = len(differences)

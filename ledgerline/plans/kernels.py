@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import dates
 from ..operators import resample, titles
-from ..session import ship
+from ..session import checkpointed, ship
 from .common import t
 
 
@@ -20,14 +22,98 @@ def _brand_changes(spark: SparkSession, d: str) -> DataFrame:
     return per.join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "l_partkey", F.ln(F.col("r") / F.col("b")).alias("change"))
 
 
+def _values(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """A row per group: its values as arrays in a fixed order."""
+    own = F.array_sort(F.collect_list(F.struct(*order, *[c for c in values if c not in order])))
+    return rows.groupBy(*keys).agg(own.alias("__own")).select(*keys, *[F.col(f"__own.{c}").alias(c) for c in values])
+
+
 @query()
 def change_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """90 % resampling interval of each brand's median change, 400 rounds."""
-    def kernel(rows):
-        low, high = resample.median_interval(rows["change"].to_numpy())
-        return {"n": len(rows), "median": float(np.median(rows["change"])), "low": low, "high": high}
+    """90 % resampling interval of each brand's median change, 400 rounds in slices."""
+    groups = checkpointed(_values(_brand_changes(ship(spark), d), ["p_brand"], ["l_partkey"], ["change"]))
+    sims = resample.by_slices(groups, ["p_brand"], ["change"], resample.median_sims, 400)
+    low, high = resample.interval("sims", 400)
+    middle = F.aggregate(F.slice(F.array_sort("change"), F.floor((F.size("change") + 1) / 2).cast("int"), 2 - F.size("change") % 2), F.lit(0.0), lambda a, x: a + x) / (2 - F.size("change") % 2)
+    return groups.join(sims, "p_brand").select("p_brand", F.size("change").cast("long").alias("n"), middle.alias("median"), low.alias("low"), high.alias("high"))
+
+
+@query()
+def gap_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """For all pairs of brands, a dimension of fixed size: how the money gap between them changed, with 90 % interval of 200 rounds."""
+    rows = t(ship(spark), d, "lineitem").select("l_partkey", F.year("l_shipdate").alias("y"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit")).where("y IN (1996, 1997)")
+    per = rows.groupBy("l_partkey").agg(F.median(F.when(F.col("y") == 1996, F.col("unit"))).alias("b"), F.median(F.when(F.col("y") == 1997, F.col("unit"))).alias("recent")).where("b > 0 AND recent > 0")
+    per = per.withColumn("log", F.ln(F.col("recent") / F.col("b"))).join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    groups = checkpointed(_values(per, ["p_brand"], ["l_partkey"], ["recent", "log"]))
+    a, b = (groups.select(F.col("p_brand").alias(x), F.col("recent").alias(f"recent_{x}"), F.col("log").alias(f"log_{x}")) for x in "ab")
+    pairs = a.join(b, F.col("a") < F.col("b"))
+    sims = resample.by_slices(pairs, ["a", "b"], ["recent_a", "log_a", "recent_b", "log_b"], resample.gap_sims, 200, slices=1)
+    low, high = resample.interval("sims", 200)
+    return sims.select("a", "b", F.floor(low + 0.5).alias("low"), F.floor(high + 0.5).alias("high"))
+
+
+@query()
+def stratified_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """How much more often dear lines are returned than cheap ones of the same month, with 90 % interval: 100 rounds that
+    draw within months. A month is a task; only sums of a round leave it."""
+    rows = t(ship(spark), d, "lineitem").where(F.year("l_shipdate") == 1997).select(
+        F.month("l_shipdate").alias("m"), "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_returnflag") == "R").cast("double").alias("hit"), (F.col("l_extendedprice") <= 20_000).alias("low"), (F.col("l_extendedprice") > 60_000).alias("high"))
+    months = rows.groupBy("m").agg(F.count("*").alias("n"))
+    # twelve rows
+    skip = F.sum("n").over(Window.orderBy("m")) - F.col("n")
+    months = months.select("m", skip.alias("skip"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    own = rows.join(F.broadcast(months), "m")
+    schema = "m int, round int, low double, n_low double, high double, n_high double"
+
+    def kernel(key, part):
+        part = part.sort_values(["l_orderkey", "l_linenumber", "l_extendedprice"], kind="stable")
+        sums = resample.stratum_sums(0, 100, part["hit"].to_numpy(), part["low"].to_numpy(), part["high"].to_numpy(), int(part["skip"].iloc[0]), int(part["total"].iloc[0]))
+        return pd.DataFrame({"m": key[0], "round": range(100), "low": sums[:, 0], "n_low": sums[:, 1], "high": sums[:, 2], "n_high": sums[:, 3]})
+
+    per = own.groupBy("m").applyInPandas(kernel, schema).groupBy("round").agg((F.sum("high") / F.sum("n_high") - F.sum("low") / F.sum("n_low")).alias("x"))
+    low, high = resample.interval("sims", 100)
+    return per.agg(F.collect_list("x").alias("sims")).select(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query()
+def cluster_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """By brand, the median change of unit price between a part's successive shipments of one supplier: 90 % interval
+    over 400 rounds that draw whole parts, and the range over rounds that leave out a tenth of the parts."""
+    rows = t(ship(spark), d, "lineitem").where(F.year("l_shipdate") >= 1997).select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
+    before = F.lag("unit").over(Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_shipdate", "l_orderkey", "unit"))
+    logs = rows.withColumn("log", F.ln(F.col("unit") / before)).where("log IS NOT NULL").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    parts = logs.groupBy("p_brand", "l_partkey").agg(F.array_sort(F.collect_list("log")).alias("logs"))
+    groups = _values(parts.withColumn("size", F.size("logs")), ["p_brand"], ["l_partkey"], ["logs", "size"]).select("p_brand", F.flatten("logs").alias("logs"), "size")
+    groups = checkpointed(groups.where(F.size("size") >= 2))
+    sims = resample.by_slices(groups, ["p_brand"], ["logs", "size"], resample.cluster_sims, 400)
+    swings = resample.by_slices(groups, ["p_brand"], ["logs", "size"], lambda a, b, logs, size: np.array([resample.jitter(logs, size)]), 1, slices=1)
+    low, high = resample.interval("sims", 400)
+    return sims.select("p_brand", F.round(low, 9).alias("low"), F.round(high, 9).alias("high")).join(swings.select("p_brand", F.round(F.col("sims")[0], 9).alias("jitter")), "p_brand")
+
+
+@query()
+def keyed_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """By segment, change of the cost of the median balance at two rates, 95 % interval of 300 rounds with the key's own draws."""
+    rows = t(ship(spark), d, "customer").where("c_acctbal > 0").select("c_mktsegment", "c_custkey", "c_acctbal", (F.col("c_custkey") % 2).alias("side"))
+    sides = [_values(rows.where(F.col("side") == k), ["c_mktsegment"], ["c_custkey"], ["c_acctbal"]).withColumnRenamed("c_acctbal", n) for k, n in ((0, "was"), (1, "now"))]
+    groups = sides[0].join(sides[1], "c_mktsegment").withColumn("name", F.col("c_mktsegment"))
+    sims = resample.by_slices(groups, ["c_mktsegment"], ["was", "now", "name"], lambda a, b, was, now, name: resample.yoy_sims(a, b, was, now, 4.2, 4.0, resample.key_seed(name, 1)), 300)
+    at = lambda q: F.round(F.element_at(F.array_sort("sims"), int(299 * q) + 1) + (299 * q % 1) * (F.element_at(F.array_sort("sims"), int(299 * q) + 2) - F.element_at(F.array_sort("sims"), int(299 * q) + 1)), 9)
+    return sims.select("c_mktsegment", at(0.025).alias("low"), at(0.975).alias("high"))
+
+
+@query()
+def binomial_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Exact 95 % interval of the share of returned lines of a supplier's first year."""
+    own = t(ship(spark), d, "lineitem").where(F.year("l_shipdate") == 1996).groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            k, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "n"))
+            low, high = resample.binomial_interval(k, n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(high)], names=[*batch.schema.names, "low", "high"])
 
-    return resample.per_group(_brand_changes(ship(spark), d), ["p_brand"], ["l_partkey"], {"n": "long", "median": "double", "low": "double", "high": "double"}, kernel)
+    return own.mapInArrow(run, "l_suppkey long, k long, n long, low double, high double").select("l_suppkey", "k", "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query()
