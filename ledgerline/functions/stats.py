@@ -11,10 +11,16 @@ def quantile_r7(x: Column, q: float) -> Column:
     return F.percentile(x, F.lit(q))
 
 
-def quantile_floor(x: Column, q: float) -> Column:
-    """sorted[min(n - 1, floor(n * q))]. Gathers the group's values: for groups of bounded size."""
-    own = F.array_sort(F.collect_list(x))
-    return F.try_element_at(own, F.least(F.size(own), F.floor(F.size(own) * F.lit(q)).cast("int") + 1))
+def quantile_floor(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(keys, a column per quantile): sorted[min(n - 1, floor(n * q))] of the values of each group, nulls left out.
+
+    Values are counted first; running counts say which value stands at a place, so no group is gathered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    own = Window.partitionBy(*keys)
+    upto = counts.withColumns({"__n": F.sum("__c").over(own), "__u": F.sum("__c").over(own.orderBy(value))})
+    place = {name: F.least(F.col("__n") - 1, F.floor(F.col("__n") * F.lit(q))) for name, q in quantiles.items()}
+    return upto.groupBy(*keys).agg(*[F.min(F.when(F.col("__u") > k, F.col(value))).alias(name) for name, k in place.items()])
 
 
 def quantile_disc(x: str, q: float) -> Column:

@@ -19,16 +19,33 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value:
     return run.where(F.col("__side") == own_side).drop("__side", f"__{value}")
 
 
+def as_of_months(left: DataFrame, levels: DataFrame, day: str, value: str) -> DataFrame:
+    """left with `value` of the latest month that starts before each row's day.
+
+    levels has a row per month (its first day as `day`, value). Months without one take the last before, so each row
+    has one month to look at: a plain join with a table of months.
+    """
+    span = levels.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    months = span.select(F.explode(F.sequence("lo", F.add_months("hi", 1), F.expr("INTERVAL 1 MONTH"))).alias("__month"))
+    known = months.join(levels.select(F.col("day").alias("__month"), value), "__month", "left")
+    # a row per month of the whole span
+    filled = known.withColumn(value, F.last(value, ignorenulls=True).over(Window.orderBy("__month")))
+    return left.withColumn("__month", F.trunc(F.date_sub(day, 1), "month")).join(filled, "__month", "left").drop("__month")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, tolerance: float, tie: str) -> DataFrame:
     """left with the right row of the same keys whose y is nearest to x and less than tolerance away; ties by `tie`.
 
-    Values are put in buckets of the tolerance's width; each left row looks into three.
+    Values are put in buckets of the tolerance's width; each left row looks into three. Equal left rows are looked up
+    once and come back as often as they are there; rows with a null in the keys or x find nothing.
     """
-    mine = left.withColumn("__row", F.xxhash64(*left.columns)).withColumn("__bucket", F.explode(F.array(*[F.floor(F.col(x) / tolerance) + k for k in (-1, 0, 1)])))
+    own = left.columns
+    mine = left.groupBy(*own).agg(F.count("*").alias("__copies")).withColumn("__bucket", F.explode(F.array(*[F.floor(F.col(x) / tolerance) + k for k in (-1, 0, 1)])))
     theirs = right.withColumn("__bucket", F.floor(F.col(y) / tolerance))
     found = mine.join(theirs, [*keys, "__bucket"]).where(F.abs(F.col(x) - F.col(y)) < tolerance)
-    rank = F.row_number().over(Window.partitionBy(*keys, "__row", x).orderBy(F.abs(F.col(x) - F.col(y)), tie))
-    return found.withColumn("__rank", rank).where("__rank = 1").drop("__row", "__bucket", "__rank")
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.abs(F.col(x) - F.col(y)), tie))
+    best = found.withColumn("__rank", rank).where("__rank = 1").drop("__bucket", "__rank")
+    return best.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies")
 
 
 def neighbours(df: DataFrame, order: str, name: str) -> DataFrame:

@@ -56,3 +56,25 @@ def last_change(df: DataFrame, keys: list[str], index: str, value: str) -> DataF
     islands = df.withColumn("__island", F.sum(changed).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     per = islands.groupBy(*keys, "__island").agg(F.min(index).alias("since"), F.first(value).alias(value), F.count("*").alias("length"))
     return per.groupBy(*keys).agg(F.max_by(F.struct(value, "since", "length"), "__island").alias("__x")).select(*keys, F.col(f"__x.{value}"), "__x.since", "__x.length")
+
+
+def rolling_median(df: DataFrame, keys: list[str], month: str, value: str, span: int, bins: int = 64) -> DataFrame:
+    """(keys, month, median) over all positive values of the last `span` months, for months that have values.
+
+    Values are counted in bins of equal ratio (`bins` to a doubling); only those counts are repeated into the months that
+    see them. They say which bin, or two, holds a month's middle; the values of these bins alone are then put in order.
+    """
+    rows = df.select(*keys, F.col(month).alias("__m"), F.col(value).alias("__v"), F.floor(F.log2(value) * bins).alias("__b"))
+    counts = rows.groupBy(*keys, "__m", "__b").agg(F.count("*").alias("__c"))
+    seen = counts.select(*keys, "__b", "__c", F.explode(F.sequence(F.col("__m"), F.col("__m") + span - 1)).alias("__at"))
+    seen = seen.join(counts.select(*keys, F.col("__m").alias("__at")).distinct(), [*keys, "__at"]).groupBy(*keys, "__at", "__b").agg(F.sum("__c").alias("__c"))
+    own = Window.partitionBy(*keys, "__at")
+    places = seen.withColumns({"__n": F.sum("__c").over(own), "__before": F.sum("__c").over(own.orderBy("__b")) - F.col("__c")})
+    lower, upper = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    within = lambda k: (F.col("__before") <= k) & (k < F.col("__before") + F.col("__c"))
+    middle = places.where(within(lower) | within(upper)).select(*keys, "__at", "__b", "__before", lower.alias("__l"), upper.alias("__u"))
+    near = middle.withColumn("__m", F.explode(F.sequence(F.col("__at") - span + 1, F.col("__at"))))
+    found = rows.join(near, [*keys, "__m", "__b"])
+    at = F.row_number().over(Window.partitionBy(*keys, "__at", "__b").orderBy("__v")) - 1 + F.col("__before")
+    # one row, or two in the middle of an even number
+    return found.withColumn("__k", at).where((F.col("__k") == F.col("__l")) | (F.col("__k") == F.col("__u"))).groupBy(*keys, F.col("__at").alias(month)).agg(F.avg("__v").alias("median"))

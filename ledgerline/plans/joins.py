@@ -72,12 +72,9 @@ SELECT o_orderkey, round((SELECT level FROM i WHERE i.day < o.day ORDER BY i.day
 """)
 def as_of_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The latest monthly level that starts before an order's day."""
-    own = t(spark, d, "orders").select(F.lit(1).alias("k"), "o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice", F.substring(F.sha1(F.col("o_custkey").cast("string").cast("binary")), 1, 1).alias("bin"))
-    levels = own.groupBy(F.date_trunc("month", "day").cast("date").alias("day")).agg(F.median("o_totalprice").alias("level"))
-    # the levels are repeated for each of 16 bins, so that no key holds all orders
-    bins = spark.range(16).select(F.lower(F.hex("id")).alias("bin"))
-    levels = levels.join(F.broadcast(bins))
-    return lookup.as_of(own.drop("k"), levels, ["bin"], "day", "level", strict=True).select("o_orderkey", r(F.col("level")).alias("level"))
+    own = t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    levels = own.groupBy(F.trunc("day", "month").alias("day")).agg(F.median("o_totalprice").alias("level"))
+    return lookup.as_of_months(own, levels, "day", "level").select("o_orderkey", r(F.col("level")).alias("level"))
 
 
 @query("""

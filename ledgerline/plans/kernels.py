@@ -31,11 +31,12 @@ def _values(rows: DataFrame, keys: list[str], order: list[str], values: list[str
 @query()
 def change_intervals(spark: SparkSession, d: str) -> DataFrame:
     """90 % resampling interval of each brand's median change, 400 rounds in slices."""
-    groups = checkpointed(_values(_brand_changes(ship(spark), d), ["p_brand"], ["l_partkey"], ["change"]))
-    sims = resample.by_slices(groups, ["p_brand"], ["change"], resample.median_sims, 400)
+    groups = _values(_brand_changes(ship(spark), d), ["p_brand"], ["l_partkey"], ["change"])
     low, high = resample.interval("sims", 400)
     middle = F.aggregate(F.slice(F.array_sort("change"), F.floor((F.size("change") + 1) / 2).cast("int"), 2 - F.size("change") % 2), F.lit(0.0), lambda a, x: a + x) / (2 - F.size("change") % 2)
-    return groups.join(sims, "p_brand").select("p_brand", F.size("change").cast("long").alias("n"), middle.alias("median"), low.alias("low"), high.alias("high"))
+    groups = groups.withColumns({"n": F.size("change").cast("long"), "median": middle})
+    sims = resample.by_slices(groups, ["p_brand", "n", "median"], ["change"], resample.median_sims, 400, slices=1)
+    return sims.select("p_brand", "n", "median", low.alias("low"), high.alias("high"))
 
 
 @query()
@@ -142,7 +143,20 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("pearson"), F.count("*").alias("n"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE s AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents),
+x AS (SELECT *, lower(regexp_replace(regexp_replace(title, '\[[^\]]*\]|\([^)]*\)', '', 'g'), '[^\p{L}\p{N}]', '', 'g')) AS f FROM s),
+c AS (SELECT min(doc_id) AS doc_id, f FROM x WHERE length(f) >= 2 GROUP BY f),
+gr AS (SELECT DISTINCT doc_id, substr(f, i, 2) AS gram FROM (SELECT doc_id, f, unnest(range(1, length(f))) AS i FROM c)),
+n AS (SELECT doc_id, count(*) AS n FROM gr GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM gr a JOIN gr b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT b, list(a) AS near FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 2.0 * c / (x.n + y.n) >= 0.75 GROUP BY 1),
+o AS (SELECT row_number() OVER (ORDER BY b) AS k, b, near FROM e),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+  SELECT o.k, CASE WHEN len(list_filter(o.near, lambda i: NOT list_contains(g.gone, i))) > 0 THEN list_append(g.gone, o.b) ELSE g.gone END FROM g JOIN o ON o.k = g.k + 1),
+last AS (SELECT gone FROM g ORDER BY k DESC LIMIT 1)
+SELECT doc_id, title FROM x WHERE coalesce(length(f), 0) < 2 OR doc_id IN (SELECT doc_id FROM c, last WHERE NOT list_contains(gone, c.doc_id))
+""")
 def titles_kept_greedily(spark: SparkSession, d: str) -> DataFrame:
     """Whole first lines in order, without those that are like an earlier kept one."""
     first = t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))

@@ -131,3 +131,12 @@ def test_csv_header_and_budget(spark, tmp_path):
     assert rows(files.within_budget(sized, "size", "n", "k", 25), "k") == [("a",), ("b",)]
     files.write_ledger(sized, str(tmp_path / "ledger"), "k")
     assert spark.read.text(str(tmp_path / "ledger")).first()[0] == '{"k":"a","n":5,"size":10}'
+
+
+def test_nearest_within_keeps_equal_rows(spark):
+    from ledgerline.operators import lookup
+
+    left = spark.createDataFrame([("k", 1.0), ("k", 1.0), ("k", 9.0), (None, 1.0)], "k string, x double")
+    right = spark.createDataFrame([("k", 1.5, 2), ("k", 0.5, 1)], "k string, y double, tie int")
+    got = lookup.nearest_within(left, right, ["k"], "x", "y", 2.0, "tie").collect()
+    assert [(r.k, r.x, r.tie) for r in got] == [("k", 1.0, 1), ("k", 1.0, 1)]
