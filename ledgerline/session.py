@@ -44,9 +44,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one is set only where the session has none."""
+    """The shared folder that spark.checkpoint.dir names. Only a local session may lack one and gets a temporary folder;
+    executors on other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
