@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from test_small_cases import LOW, brute_groups, brute_hits, brute_lines
 
 import corpus_pipeline
-from ledgerline.llm import byte_bpe, labelled, queries, toxicity
+from ledgerline.llm import byte_bpe, kd_shards, labelled, quality, queries, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.labelled import fold
 
@@ -90,6 +90,61 @@ def test_op5(spark, texts):
         start += len(ids)
 
 
+def test_op7(spark, texts):
+    import zstandard
+
+    model = quality.fit(table(spark, SF, "documents"), table(spark, SF, "labels"), fold("doc_id", 5) != 0)
+    packed = lambda text, words: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_checksum=False, write_dict_id=False).compress(text))
+    got = run(spark, "op7_quality")
+    assert len(got) == len(texts)
+    for r in got:
+        text = (texts[r.doc_id] or "").encode()
+        x = (packed(text, model.bad) - packed(text, model.good)) / (len(text) + 1) if text else 0.0
+        assert abs(r.score - 1 / (1 + math.exp(-model.slope * x / model.scale - model.offset))) < 1e-9
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def plain_tree(rows, dims, depth):
+    """Halves of rows by the weighted median of their widest dimension, one node after the other."""
+    if not depth or not rows:
+        return [rows] * (depth == 0) or [[]] * (1 << depth)
+    span = [max(r[f"d{n}"] for r in rows) - min(r[f"d{n}"] for r in rows) for n in range(dims)]
+    own = f"d{span.index(max(span))}"
+    key = lambda r: (r[own] << kd_shards.TIE_BITS) + r.tie
+    weight, upto, bound = sum(r["size"] for r in rows), 0, None
+    sums = Counter()
+    for r in rows:
+        sums[key(r)] += r["size"]
+    for k in sorted(sums):
+        upto += sums[k]
+        if 2 * upto >= weight:
+            bound = k + (2 * upto - weight <= weight - 2 * (upto - sums[k]))
+            break
+    return plain_tree([r for r in rows if key(r) < bound], dims, depth - 1) + plain_tree([r for r in rows if key(r) >= bound], dims, depth - 1)
+
+
+def test_op9_is_the_tree(spark):
+    light = kd_shards.light_rows(table(spark, SF, "documents"))
+    rows = kd_shards.coordinates(light, light.agg(F.sum("size")).first()[0], 16, 2).collect()
+    want = {r.id: shard for shard, leaf in enumerate(plain_tree(rows, 4, 4)) for r in leaf}
+    assert {r.doc_id: r.shard for r in run(spark, "op9_kd_shards")} == want
+
+
+def test_stages_on_odd_documents(spark):
+    long = "word " * 5 + " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None), (1, None), (2, ""), (None, long), (None, None), (3, long), (3, long), (4, long), (5, "\n \t\n"), (6, long.upper() + "\n" * 3)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("lang", "source", "evidence", "id", "n_lines", "hit_from", "n", "bands")}).withColumn("n_chars", F.char_length("text").cast("long"))
+    for docs, least in ((odd, 5), (odd.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.staged(stage(spark, docs, SF), f"odd-{name}")
+            if name != "byte_bpe":
+                assert docs.columns == odd.columns and {r.evidence for r in docs.select("evidence").collect()} <= {"evidence"}
+        kept = docs.collect()
+        assert len(kept) >= least and all(r.n_tokens == 0 for r in kept if r.doc_id in (1, 2))
+        # one id of each group of copies is left, with all its rows; rows without an id stay
+        assert sorted({r.doc_id for r in kept if r.doc_id}) == ([1, 2, 3, 5] if least else []) and (not least or sum(r.doc_id is None for r in kept) == 2)
+
+
 def test_op9(spark, texts):
     got = run(spark, "op9_kd_shards")
     data = {i: (x or "").encode() for i, x in texts.items()}
