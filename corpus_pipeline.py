@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and
 reads it again for the next. All stages but the last return the columns of documents; where a stage changes a text it
 sets n_chars anew. The last returns the ids of each text that is left.
+
+Cases: null and empty texts pass through every stage and end without tokens; rows with a null id are never copies of
+others and lose no line; rows with one id are one document, which goes or stays with all its rows; an empty table gives
+an empty table; columns beside those of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: No SQL expresses the classifier or the tokenizer; tests hold the stages against brute force.
+#: No SQL expresses the classifier or the tokenizer; a test holds the rows of run() against plain Python.
 ORACLE_SQL = None
 
 
