@@ -142,15 +142,15 @@ _RATE = "CASE WHEN p <= 60000 THEN 1.0 WHEN p > 90000 THEN 3.0 ELSE floor((p / 3
 @query(f"""WITH a AS (SELECT p_partkey, {_PRICE} AS p, p_size > 40 AS large FROM part), b AS (SELECT *, ({_RATE})::DOUBLE AS rate, CASE WHEN p <= 150000 THEN 60000 WHEN p <= 250000 THEN 40000 ELSE 20000 END AS cap FROM a),
 c AS (SELECT *, p * rate / 100 AS tax, CASE WHEN p < 5000 THEN least(p * 0.6 / 100, 25) WHEN p < 20000 THEN least(p * 0.5 / 100, 80) WHEN p < 90000 THEN p * 0.4 / 100 WHEN p < 120000 THEN p * 0.5 / 100 WHEN p < 150000 THEN p * 0.6 / 100 ELSE p * 0.7 / 100 END::DOUBLE AS broker FROM b),
 e AS (SELECT *, tax + p * (floor(rate * 0.1 * 10000 + 0.5) / 10000) / 100 + CASE WHEN large THEN p * 0.2 / 100 ELSE 0 END + broker AS costs FROM c)
-SELECT p_partkey, cap::INT AS cap, round(rate, 4) AS rate, round(costs, 4) AS costs, round(p - least(p * 40 / 100, cap) + costs, 4) AS cash,
-  round(p - least(p * 70 / 100, cap) + costs - CASE WHEN p <= 120000 THEN least(200, tax) ELSE 0 END, 4) AS cash_first FROM e
+SELECT p_partkey, cap::INT AS cap, round(rate, 4) AS rate, round(costs, 6) AS costs, round(p - least(p * 40 / 100, cap) + costs, 6) AS cash,
+  round(p - least(p * 70 / 100, cap) + costs - CASE WHEN p <= 120000 THEN least(200, tax) ELSE 0 END, 6) AS cash_first FROM e
 """)
 def purchase_columns(spark: SparkSession, d: str) -> DataFrame:
     """Loan cap, tax, costs and least own money of a purchase."""
     p, large = F.floor(F.col("p_retailprice") * F.col("p_size") * 3).cast("double"), F.col("p_size") > 40
     return t(spark, d, "part").select(
-        "p_partkey", finance.loan_cap(p).alias("cap"), r(finance.acquisition_rate(p)).alias("rate"), r(finance.purchase_costs(p, large)).alias("costs"),
-        r(finance.least_cash(p, large)).alias("cash"), r(finance.least_cash(p, large, first=True)).alias("cash_first"))
+        "p_partkey", finance.loan_cap(p).alias("cap"), r(finance.acquisition_rate(p)).alias("rate"), r(finance.purchase_costs(p, large), 6).alias("costs"),
+        r(finance.least_cash(p, large), 6).alias("cash"), r(finance.least_cash(p, large, first=True), 6).alias("cash_first"))
 
 
 @query("""WITH a AS (SELECT p_partkey, p_retailprice * 30 AS jeonse, p_retailprice * 10 AS deposit, p_size * 2.0 AS rent, p_size * 500.0 AS cash, 3 + p_size / 25.0 AS loan FROM part)
