@@ -70,8 +70,8 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK, dense: float = DENSE):
         self.n, self.block = len(vectors), block
         self.n_blocks = -(-self.n // block)
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, int)]).astype(np.int64)
-        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int32)])
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         often = np.bincount(term, minlength=n_terms) > dense * self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1)
@@ -80,7 +80,7 @@ class BlockMaxIndex:
         self.dense[self.row[term[own]], example[own]] = weight[own]
         term, example, weight = term[~own], example[~own], weight[~own]
         order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        term, self.example, self.weight = term[order].astype(np.int64), example[order], weight[order]
         # a spot is a term in a block: where its postings begin, and the largest weight
         at = term * max(1, self.n_blocks) + self.example // block
         begin = np.flatnonzero(np.diff(at, prepend=-1))
@@ -140,7 +140,7 @@ class BlockMaxIndex:
 
 
 class Model:
-    """examples: (grams, label) of labelled texts; counts: labelled rows of each class."""
+    """examples: (grams, label) of labelled texts, a list that is used up; counts: labelled rows of each class."""
 
     def __init__(self, examples: list[tuple[Vector, int]], counts: tuple[int, int]):
         self.share = counts[1] / sum(counts) if sum(counts) else 0.0
@@ -152,7 +152,10 @@ class Model:
             return
         self.terms, df = np.unique(np.concatenate([c for (c, _), _ in examples]), return_counts=True)
         self.idf = np.log(1 + len(examples) / (df + 0.5)) ** IDF
-        own = [self.vector(g) for g, _ in examples]
+        own = []
+        for i in range(len(examples)):  # what is counted is let go as its vector is made
+            own.append(self.vector(examples[i][0]))
+            examples[i] = None
         # examples with the same leading term stand together, so that blocks differ in their maxima
         lead = [int(t[np.argmax(v)]) if len(t) else len(self.terms) for t, v in own]
         order = sorted(range(len(own)), key=lambda i: (lead[i], i))
@@ -166,7 +169,7 @@ class Model:
         codes, counts = counted
         at = np.minimum(np.searchsorted(self.terms, codes), max(0, len(self.terms) - 1))
         known = self.terms[at] == codes if len(self.terms) else np.zeros(len(codes), dtype=bool)
-        terms = at[known]
+        terms = at[known].astype(np.int32)
         values = counts[known] ** TF * self.idf[terms]
         return terms, values / max(1e-300, np.sqrt((values * values).sum()))
 
@@ -197,14 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     rows = picked(docs, labels, label, learn, longest=None, **options)
 
     def run(batches):
-        kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()))
         for batch, texts in arrow_rows(batches, "text"):
             counted = list(zip(*map(grams, texts))) or [(), ()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(counted, kinds))], names=[*batch.schema.names, "codes", "counts"])
+            # bytes, as the driver would hold an object for each number of an array
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x.tobytes() for x in c], pa.binary()) for c in counted)], names=[*batch.schema.names, "codes", "counts"])
 
-    got = rows.mapInArrow(run, "place long, id string, digest string, label int, codes array<int>, counts array<long>").collect()
+    got = rows.mapInArrow(run, "place long, id string, digest string, label int, codes binary, counts binary").collect()
     got.sort(key=lambda r: (r.place, r.id, r.digest))
-    return Model([((np.array(r.codes, dtype=np.int32), np.array(r["counts"], dtype=np.int64)), r.label) for r in got], class_counts(labels, label, learn))
+    examples = [((np.frombuffer(r.codes, dtype=np.int32), np.frombuffer(r["counts"], dtype=np.int64)), r.label) for r in got]
+    del got
+    return Model(examples, class_counts(labels, label, learn))
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity", evidence_col: str | None = "evidence") -> DataFrame:
