@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_topk, kd_shards, line_dedup, near_dedup, quality, token_files, toxicity, warc
+from . import byte_bpe, decontaminate, exact_topk, kd_shards, line_dedup, merkle, near_dedup, quality, token_files, toxicity, warc, word_bpe, word_runs
 from .common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ _OPERATORS: list[Query] = [
     line_dedup.op8_line_dedup,
     kd_shards.op9_kd_shards,
     decontaminate.op10_decontaminate,
+    word_runs.op11_word_runs,
+    word_bpe.op12_word_bpe,
+    merkle.op13_merkle_manifest,
 ]
 
 
@@ -38,4 +41,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_word_runs": word_runs.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
