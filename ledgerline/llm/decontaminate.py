@@ -197,11 +197,13 @@ def _chunks(benchmark: DataFrame, id_col: str, text_col: str, chunk_words: int)
         yield [r.id for r in rows], [plain_words(r.text.encode()) for r in rows]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", chunk_words: int = CHUNK_WORDS, prefix: str = "") -> DataFrame:
     """docs with `hit_from`, `hit_to` (arrays of word ranges), `cut_from`, `cut_to` (the same as byte ranges), `hit_items`
-    (sorted distinct ids as strings), `n_words`."""
+    (sorted distinct ids as strings), `n_words`; the new names begin with `prefix`."""
     ints = F.array().cast("array<int>")
     new_cols = {"hit_from": ints, "hit_to": ints, "cut_from": ints, "cut_to": ints, "hit_items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")}
+    new_cols = {prefix + c: x for c, x in new_cols.items()}
+    held = [prefix + c for c in ("hit_from", "hit_to", "hit_items")]
     kinds = (*[pa.list_(pa.int32())] * 4, pa.list_(pa.string()), pa.int64())
     out = docs.withColumns(new_cols).withColumn("__ll_text", utf8(text_col))
     shared = None
@@ -216,7 +218,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
             for batch in batches:
                 texts = batch.column("__ll_text").to_pylist()
                 new = []
-                for data, a, b, items in zip(texts, *(batch.column(c).to_pylist() for c in ("hit_from", "hit_to", "hit_items"))):
+                for data, a, b, items in zip(texts, *(batch.column(c).to_pylist() for c in held)):
                     found: set[int] = set()
                     split = plain_words(data)
                     hits = automaton.hits(split, found)
@@ -255,16 +257,16 @@ def _places(data: bytes, starts: list[int], stops: list[int]) -> tuple[list[int]
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, **options) -> DataFrame:
     """docs without the hit spans; documents whose words are hit for more than max_coverage are dropped whole."""
-    found = find_hits(docs, benchmark, text_col, window, **options)
-    hit = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0), lambda x, y: x + y)
-    found = found.where(hit <= F.col("n_words") * F.lit(max_coverage))
+    found = find_hits(docs, benchmark, text_col, window, prefix="__ll_", **options)
+    hit = F.aggregate(F.zip_with("__ll_hit_from", "__ll_hit_to", lambda a, b: b - a), F.lit(0), lambda x, y: x + y)
+    found = found.where(hit <= F.col("__ll_n_words") * F.lit(max_coverage))
 
     data = F.col(text_col).cast("binary")
-    begin = F.concat(F.array(F.lit(0)), F.col("cut_to"))
-    end = F.concat(F.col("cut_from"), F.array(F.octet_length(data)))
+    begin = F.concat(F.array(F.lit(0)), F.col("__ll_cut_to"))
+    end = F.concat(F.col("__ll_cut_from"), F.array(F.octet_length(data)))
     # separators are ASCII, so every piece is whole characters
     parts = F.transform(F.arrays_zip(begin.alias("a"), end.alias("b")), lambda x: F.substring(data, x["a"] + 1, x["b"] - x["a"]).cast("string"))
-    clean = F.when(F.size("cut_from") == 0, F.col(text_col)).otherwise(F.array_join(parts, ""))
+    clean = F.when(F.size("__ll_cut_from") == 0, F.col(text_col)).otherwise(F.array_join(parts, ""))
     return found.withColumn(text_col, clean).select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -12,13 +12,14 @@ being an id and a 128-bit key of its text.
 Cases: null and empty texts have one empty line and stay; lines shorter than `min_chars` always stay; a line
 that a document repeats counts once for it; rows with the same id count as one document, each loses its own lines, and
 equal rows lose the same; rows with a null id count as one document and keep their lines; columns other than id and
-text pass through untouched; an empty table gives an empty table.
+text pass through, those named like the two counts excepted; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 from .common import scratch, staged
 
@@ -88,14 +89,16 @@ class LineRuns:
         self._compact(level + 1)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """docs with text_col without the repeated lines, and n_lines, n_dropped.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text_col without the repeated lines, and the two `counts`: lines before dropping, lines dropped.
 
     A line key of at least min_chars code points that min_docs documents hold loses its lines in all of them
     but the one with the largest id. The documents are ingested in `batches` ranges of falling id; the ranges' bounds
-    are approximate quantiles of the ids (numbers), which changes their sizes only.
+    are approximate quantiles of the ids, which changes their sizes only. Ids without quantiles (strings) are one batch.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, (NumericType, DateType, TimestampType)):
+        batches = 1
     lines = long_lines(docs, id_col, text_col, min_chars)
     cuts = docs.agg(F.percentile_approx(id_col, [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
@@ -114,7 +117,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array_join(F.transform(F.array_except(at, F.col("__ll_gone")), lambda i: F.element_at(F.col("__ll_lines"), i + 1)), "\n"))
     same = (F.col(id_col) == F.col("__ll_doc")) & (F.col("__ll_r1") == F.col("__ll_g1")) & (F.col("__ll_r2") == F.col("__ll_g2"))
     out = docs.select("*", *_row(text)).join(gone, same, "left").withColumn("__ll_lines", F.split(text, "\n"))
-    out = out.withColumns({text_col: kept, "n_lines": F.size("__ll_lines").cast("long"), "n_dropped": F.coalesce(F.size("__ll_gone"), F.lit(0)).cast("long")})
+    out = out.withColumns({text_col: kept, counts[0]: F.size("__ll_lines").cast("long"), counts[1]: F.coalesce(F.size("__ll_gone"), F.lit(0)).cast("long")})
     return out.drop("__ll_lines", "__ll_gone", "__ll_doc", "__ll_r1", "__ll_r2", "__ll_g1", "__ll_g2")
 
 

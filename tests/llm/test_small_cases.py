@@ -152,6 +152,13 @@ def test_line_dedup_against_loop(spark):
     assert line_dedup.line_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_by_ids_that_are_strings(spark):
+    line = "a line that many documents have, of over forty characters"
+    docs = spark.createDataFrame([(f"d{k}", f"{line}\nown {k}") for k in range(6)] + [(None, line)], "doc_id string, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, counts=("lines", "dropped")).collect()}
+    assert got == {f"d{k}": f"own {k}" for k in range(5)} | {"d5": f"{line}\nown 5", None: line}
+
+
 def test_rows_of_one_id_lose_their_own_lines(spark):
     line = "a line that stands in many documents, long enough"
     rows = [(i, line) for i in range(6)] + [(3, f"keep me\n{line}"), (3, line), (None, line), (None, None)]
