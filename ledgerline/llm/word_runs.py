@@ -199,9 +199,12 @@ def planted(text: Column, doc_id: Column) -> Column:
     g = F.floor(h / 10)
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     n = F.size(words)
-    a = (g % n).cast("int")
+    a = F.try_mod(g, n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    moved = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
+    rest = n - a
+    period = F.slice(words, a + 1, p)
+    repeated = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / p).cast("int"))), F.lit(1), rest)
+    moved = F.concat(F.slice(words, F.lit(1), a), repeated)
     return F.when((h % 10 == 0) & (n > 0), F.array_join(moved, " ")).otherwise(text)
 
 
