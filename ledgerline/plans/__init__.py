@@ -1,3 +1,3 @@
 """Queries over the star-schema, event and document tables, registered with their SQL."""
 
-from . import cells, contracts, events, joins, kernels, merges, products, records, series, shares, texts  # noqa: F401
+from . import cells, contracts, events, forecasts, joins, kernels, merges, products, records, series, shares, texts  # noqa: F401
