@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Places times series that a task holds at once.
+CELLS = 1 << 22
+
+
 def pair_correlations(df: DataFrame, series: str, at: str, value: str, block: int = 256) -> DataFrame:
     """(a, b, n, corr) for all pairs a < b of series: Pearson's correlation over the places both have a value, null where one is constant.
 
     Series are numbered and dealt into blocks of `block`. Rows are shuffled once by place; a task adds the products of the places it
-    has to one matrix per pair of blocks, so it holds block x block sums at a time for the pair that it works on and sends one
-    row per pair of series that meet; what is shuffled is linear in the rows and in the pairs of the result. Values of a series
+    has, CELLS of places times series at a time, to one matrix per pair of blocks and sends a row per pair of series that
+    meet; what is shuffled is linear in the rows and in the pairs of the result. Values of a series
     at one place are averaged; null and non-finite values count nowhere.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).groupBy(series, at).agg(F.avg(value).alias("v"))
@@ -23,13 +27,7 @@ def pair_correlations(df: DataFrame, series: str, at: str, value: str, block: in
     rows = clean.join(means, series).select(F.col(series).alias("s"), at, (F.col("v") - F.col("mean")).alias("v"))
     by_place = rows.groupBy(at).agg(F.sort_array(F.collect_list(F.struct("s", "v"))).alias("own"))
 
-    def add(batches):
-        places: list[list[tuple]] = []
-        names: dict = {}
-        for batch in batches:
-            for own in batch.column("own").to_pylist():
-                places.append([(names.setdefault(x["s"], len(names)), x["v"]) for x in own])
-        label = list(names)
+    def products(places: list[list[tuple]], label: list):
         v, m = np.zeros((len(places), len(label))), np.zeros((len(places), len(label)))
         for k, own in enumerate(places):
             for s, x in own:
@@ -42,10 +40,21 @@ def pair_correlations(df: DataFrame, series: str, at: str, value: str, block: in
                 a, b = np.nonzero(n)
                 keep = [k for k in range(len(a)) if label[i + a[k]] < label[j + b[k]]]
                 a, b = a[keep], b[keep]
-                cols = [pa.array([label[i + k] for k in a.tolist()]), pa.array([label[j + k] for k in b.tolist()]), *[pa.array(x[a, b]) for x in sums]]
                 if len(a):
+                    cols = [pa.array([label[i + k] for k in a.tolist()]), pa.array([label[j + k] for k in b.tolist()]), *[pa.array(x[a, b]) for x in sums]]
                     yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n", "sa", "sb", "ab", "aa", "bb"])
 
+    def add(batches):
+        places: list[list[tuple]] = []
+        names: dict = {}
+        for batch in batches:
+            for own in batch.column("own").to_pylist():
+                places.append([(names.setdefault(x["s"], len(names)), x["v"]) for x in own])
+                if len(places) * len(names) > CELLS:
+                    yield from products(places, list(names))
+                    places, names = [], {}
+        yield from products(places, list(names))
+
     parts = by_place.select("own").mapInArrow(add, f"a {kind}, b {kind}, n double, sa double, sb double, ab double, aa double, bb double")
     total = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "ab", "aa", "bb")])
     top = F.col("ab") - F.col("sa") * F.col("sb") / F.col("n")
