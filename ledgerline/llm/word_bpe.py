@@ -2,8 +2,9 @@
 
 A normalised text is halved down to leaves, wherever the middle falls; leaves are encoded by the library's own split and
 merges, and neighbours are joined up the tree. E(a, b), the encoding of a stretch, is that of the stretch as a text of its
-own, but that a word which goes on beyond b has no word end yet. A join re-encodes a window around the boundary, twice as
-many tokens each time, until both sides agree exactly: each edge of the window is
+own, but that a word which goes on beyond b has no word end yet. A join re-encodes a window around the boundary, first
+from white space to white space where that is near, else some tokens of each side and then twice as many each time, until
+both sides agree exactly: each edge of the window is
 
 * the stretch's own end, or a place where a match of the split pattern ends whatever stands around it (white space on
   either side, a digit on either side, or a change between letters and other characters, unless the latter end in an
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -35,14 +37,16 @@ from .common import spread, staged, table, utf8
 
 #: Characters (or ids, in decoding) up to which a stretch is not halved.
 LEAF = 1 << 9
-#: Tokens of each side in the first window of a join.
+#: Characters within which the first window of a join reaches for white space on both sides.
+NEAR = 64
+#: Tokens of each side in the next window, where there is none.
 FIRST_WINDOW = 2
 #: Characters of one class that must stand on both sides of an edge within a run; contractions have three.
 RUN = 4
 #: Characters up to which a text is encoded by one task.
 PART_CHARS = 1 << 16
-#: Words whose ids a Python worker remembers.
-CACHED_WORDS = 200_000
+#: Words whose ids a Python worker remembers, and the characters of the longest one.
+CACHED_WORDS, LONGEST_CACHED = 200_000, 200
 
 
 @lru_cache(maxsize=2)
@@ -50,6 +54,22 @@ def codec(path: str) -> "WordBpe":
     return WordBpe(path)
 
 
+class _Remembered(dict):
+    """make(key) for each key; those of up to LONGEST_CACHED characters are kept until there are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordBpe:
     """A `tokenizers` model of BPE with word ends, whose pre-tokenizer drops white space."""
 
@@ -71,11 +91,20 @@ class WordBpe:
         self.leaf, self.first_window = leaf, first_window
         self._probe = [(k, pre_tokenizers.Split(Regex(p), "removed")) for k, p in (("S", r"\s"), ("L", r"\p{L}"), ("N", r"\p{N}"))]
         self._kinds: dict[str, str] = {}
-        self._closed = lru_cache(CACHED_WORDS)(lambda word: self._ids(self.tokenizer.model, word))
+        self._chunks = _Remembered(self._chunk_ids)
 
     @staticmethod
-    def _ids(model, word: str) -> bytes:
-        return np.array([t.id for t in model.tokenize(word)], dtype="<u4").tobytes()
+    def _ids(model, words: list[str]) -> bytes:
+        ids = [t.id for w in words for t in model.tokenize(w)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _split(self, s: str) -> list[str]:
+        return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(s)]
+
+    def _chunk_ids(self, s: str) -> bytes:
+        """The ids of what stands between spaces."""
+        # one word of ASCII letters is its own split and its own bytes
+        return self._ids(self.tokenizer.model, [s] if s.isascii() and s.isalpha() else self._split(s))
 
     def kind(self, c: str) -> str:
         """Space, letter, number or other, by the library's own patterns."""
@@ -94,20 +123,26 @@ class WordBpe:
     def segments(self, text: str) -> list[tuple[int | None, str]]:
         """(added id, "") and (None, normalised stretch) in order."""
         pieces = self.adding.split(text) if self.adding else [text]
-        return [(self.added[x], "") if k % 2 else (None, self.tokenizer.normalizer.normalize_str(x)) for k, x in enumerate(pieces) if x]
+        return [(self.added[x], "") if k % 2 else (None, self.normalised(x)) for k, x in enumerate(pieces) if x]
+
+    def normalised(self, s: str) -> str:
+        """The library's normal form; of ASCII, which only lower case and white space change, without white space at the ends."""
+        if s.isascii():
+            return b" ".join(s.encode().lower().split()).decode()
+        return self.tokenizer.normalizer.normalize_str(s)
 
     def encode(self, text: str) -> np.ndarray:
         parts = [np.array([own], dtype="<u4") if own is not None else self.tree(s, 0, len(s)) for own, s in self.segments(text)]
         return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
 
     def fragment(self, s: str, a: int, b: int) -> np.ndarray:
-        """E(a, b) by the library."""
-        words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(s[a:b])]
+        """E(a, b) by the library. Normalised white space is one space, where every match ends."""
+        chunks = s[a:b].split(" ")
         last = b""
-        if words and b < len(s) and not self.hard(s[b - 1], s[b]):
-            last = self._ids(self.open_model, words.pop())
-        closed = self._closed
-        return np.frombuffer(b"".join([closed(w) for w in words]) + last, dtype="<u4")
+        if chunks[-1] and b < len(s) and not self.hard(s[b - 1], s[b]):
+            words = self._split(chunks.pop())
+            last = self._ids(self.tokenizer.model, words[:-1]) + self._ids(self.open_model, words[-1:])
+        return np.frombuffer(b"".join(map(self._chunks.__getitem__, chunks)) + last, dtype="<u4")
 
     def tree(self, s: str, a: int, b: int) -> np.ndarray:
         """E(a, b) from those of the halves."""
@@ -120,12 +155,14 @@ class WordBpe:
         """E(a, b) from E(a, mid) and E(mid, b)."""
         if self.hard(s[mid - 1], s[mid]):
             return np.concatenate((left, right))
-        k = self.first_window
+        k = 0
         while True:
             lo, n_left = self._edge(s, mid, a, left, k, -1)
             hi, n_right = self._edge(s, mid, b, right, k, 1)
+            k = k * 2 or self.first_window
+            if lo is None or hi is None:
+                continue
             inner = self.fragment(s, lo, hi)
-            k *= 2
             if lo != a and not self.hard(s[lo - 1], s[lo]) and not (self._within(s, a, lo, b) and inner[0] == left[len(left) - n_left]):
                 continue
             if hi != b and not self.hard(s[hi - 1], s[hi]) and not (self._within(s, a, hi, b) and inner[-1] == right[n_right - 1]):
@@ -139,8 +176,18 @@ class WordBpe:
         kinds = {self.kind(c) for c in s[at - RUN:at + RUN]}
         return kinds == {"L"} or kinds == {"O"}
 
-    def _edge(self, s: str, mid: int, end: int, tokens: np.ndarray, k: int, way: int) -> tuple[int, int]:
-        """(place, tokens between it and mid): the k-th token's far edge, or the next one's that is an edge of characters."""
+    def _edge(self, s: str, mid: int, end: int, tokens: np.ndarray, k: int, way: int) -> tuple[int | None, int]:
+        """(place, tokens between it and mid): the k-th token's far edge, or the next one's that is an edge of characters;
+        for k = 0 that of the word's end, if it lies within NEAR characters."""
+        if k == 0:
+            at = s.rfind(" ", max(end, mid - NEAR), mid) + 1 if way < 0 else s.find(" ", mid, min(end, mid + NEAR))
+            if at <= 0:
+                return None, 0
+            owed, n = len((s[at:mid] if way < 0 else s[mid:at]).encode()), 0
+            while owed > 0:
+                owed -= self.size_of[tokens[-1 - n if way < 0 else n]]
+                n += 1
+            return at, n
         at, n, owed = mid, 0, 0
         while n < len(tokens) and (n < k or owed):
             owed += self.size_of[tokens[-1 - n if way < 0 else n]]
