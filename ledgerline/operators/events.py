@@ -38,3 +38,11 @@ def average_rank(value: str, keys: list[str]) -> Column:
     """Rank of a value with ties sharing the mean of their places."""
     ties = F.count("*").over(Window.partitionBy(*keys, value))
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / 2
+
+
+def arrivals_after_gap(df: DataFrame, keys: list[str], time: str, term: str) -> DataFrame:
+    """The rows with which a key arrives: its first, and the first after an absence of more than `term` (an interval). Of rows with one
+    time the first in the order of all columns counts."""
+    w = Window.partitionBy(*keys).orderBy(time, *[c for c in df.columns if c not in (*keys, time)])
+    before = F.lag(time).over(w)
+    return df.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(time) > F.col("__before") + F.expr(f"INTERVAL {term}"))).drop("__before")

@@ -49,10 +49,15 @@ def _hold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSta
         if last is None or day > last:
             last, held = day, held + 1
             out.append((key[0], day, held, held > 3))
-    state.update((last, held))
+    # an accepted slot leaves no state
+    if last is not None:
+        state.update((last, held))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["slot", "day", "held", "release"])
 
 
 def holds(verdicts: DataFrame, slot: str = "slot") -> DataFrame:
-    """(slot, day, held, release) per distinct held day of a stream (slot, day, verdict); an accepted day clears it."""
+    """(slot, day, held, release) per distinct held day of a stream (slot, day, verdict); an accepted day clears it. State
+    is one row per slot that is held now; streaming.expiring has holds whose state also ends with a term."""
     return verdicts.groupBy(slot).applyInPandasWithState(_hold, HOLD, HOLD_STATE, "append", GroupStateTimeout.NoTimeout)
