@@ -144,17 +144,16 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH RECURSIVE s AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents),
+WITH s AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents),
 x AS (SELECT *, lower(regexp_replace(regexp_replace(title, '\[[^\]]*\]|\([^)]*\)', '', 'g'), '[^\p{L}\p{N}]', '', 'g')) AS f FROM s),
 c AS (SELECT min(doc_id) AS doc_id, f FROM x WHERE length(f) >= 2 GROUP BY f),
 gr AS (SELECT DISTINCT doc_id, substr(f, i, 2) AS gram FROM (SELECT doc_id, f, unnest(range(1, length(f))) AS i FROM c)),
 n AS (SELECT doc_id, count(*) AS n FROM gr GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM gr a JOIN gr b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT b, list(a) AS near FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 2.0 * c / (x.n + y.n) >= 0.75 GROUP BY 1),
-o AS (SELECT row_number() OVER (ORDER BY b) AS k, b, near FROM e),
-g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
-  SELECT o.k, CASE WHEN len(list_filter(o.near, lambda i: NOT list_contains(g.gone, i))) > 0 THEN list_append(g.gone, o.b) ELSE g.gone END FROM g JOIN o ON o.k = g.k + 1),
-last AS (SELECT gone FROM g ORDER BY k DESC LIMIT 1)
+o AS (SELECT list({'b': b, 'near': near} ORDER BY b) AS l FROM e),
+last AS (SELECT list_reduce(list_prepend({'b': 0::BIGINT, 'near': []::BIGINT[]}, coalesce(l, [])),
+  lambda acc, x: {'b': x.b, 'near': CASE WHEN len(list_filter(x.near, lambda i: NOT list_contains(acc.near, i))) > 0 THEN list_append(acc.near, x.b) ELSE acc.near END}).near AS gone FROM o)
 SELECT doc_id, title FROM x WHERE coalesce(length(f), 0) < 2 OR doc_id IN (SELECT doc_id FROM c, last WHERE NOT list_contains(gone, c.doc_id))
 """)
 def titles_kept_greedily(spark: SparkSession, d: str) -> DataFrame:
