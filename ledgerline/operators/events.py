@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def with_prior(df: DataFrame, cell: list[str], day: str, value: str) -> DataFrame:
     """df with prior_n, prior_first, prior_max: count, first day and largest value strictly before the day."""
@@ -46,3 +48,27 @@ def arrivals_after_gap(df: DataFrame, keys: list[str], time: str, term: str) ->
     w = Window.partitionBy(*keys).orderBy(time, *[c for c in df.columns if c not in (*keys, time)])
     before = F.lag(time).over(w)
     return df.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(time) > F.col("__before") + F.expr(f"INTERVAL {term}"))).drop("__before")
+
+
+def standing_among_earlier(df: DataFrame, cell: list[str], day: str, value: str) -> DataFrame:
+    """df with `n`, `lower` and `equal`: of the rows of the cell on strictly earlier days how many there are, have a lower value, the same value.
+
+    No row meets another: values get dense ranks within the cell, and `lower` adds up over the binary digits of the rank: where a row's
+    digit is 1, the earlier rows that share the digits above and have 0 there. That is a running count for each digit that ranks
+    of the cell need. Rows whose value is null count nowhere and have nulls; equal rows are rows each.
+    """
+    rows = checkpointed(df.withColumn("__id", F.monotonically_increasing_id()))
+    known = rows.where(F.col(value).isNotNull())
+    ranked = known.withColumn("__r", F.dense_rank().over(Window.partitionBy(*cell).orderBy(value)) - 1)
+    most = F.max("__r").over(Window.partitionBy(*cell))
+    earlier = lambda *more: Window.partitionBy(*cell, *more).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+    own = ranked.withColumns({"__n": F.count("*").over(earlier()), "__e": F.count("*").over(earlier("__r")), "__most": most})
+    digits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("__most"), F.lit(1)).cast("double"))).cast("int"))
+    each = own.select("__id", *cell, day, "__r", F.explode(digits).alias("__k"))
+    bit = F.expr("shiftright(__r, __k) & 1")
+    each = each.withColumns({"__bit": bit, "__above": F.expr("shiftright(__r, __k + 1)")})
+    below = F.sum(1 - F.col("__bit")).over(earlier("__k", "__above"))
+    lower = each.withColumn("__below", below).where("__bit = 1").groupBy("__id").agg(F.sum("__below").alias("__lower"))
+    counts = own.select("__id", "__n", "__e").join(lower, "__id", "left")
+    out = rows.join(counts, "__id", "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__n").alias("n"), F.when(F.col("__n").isNotNull(), F.coalesce("__lower", F.lit(0)).cast("long")).alias("lower"), F.col("__e").alias("equal"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import contracts, dates, finance, numbers, stats
-from ..operators import lookup, products
+from ..operators import events, lookup, products, ranks
 from .common import r, t
 from .contracts import _LIVE, COMMON, RAW, raw_rows
 
@@ -245,16 +245,13 @@ def source_ages(spark: SparkSession, d: str) -> DataFrame:
     return products.ages(rows, "family", "member", "at", F.lit("2024-03-01").cast("date"), 5, {"late": 100, "due": 50})
 
 
-@query("""WITH a AS (SELECT l_partkey, l_orderkey, l_linenumber, l_shipdate, l_extendedprice AS v FROM lineitem WHERE l_partkey % 10 = 3)
-SELECT a.l_orderkey, a.l_linenumber, a.v, count(b.v)::BIGINT AS n, count(*) FILTER (WHERE b.v < a.v)::BIGINT AS lower, count(*) FILTER (WHERE b.v = a.v)::BIGINT AS equal FROM a LEFT JOIN a b ON a.l_partkey = b.l_partkey AND b.l_shipdate < a.l_shipdate GROUP BY a.l_orderkey, a.l_linenumber, a.v, a.l_partkey, a.l_shipdate
+@query("""WITH a AS (SELECT row_number() OVER () AS id, l_partkey, l_orderkey, l_linenumber, l_shipdate, l_extendedprice AS v FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, a.v, count(b.v)::BIGINT AS n, count(*) FILTER (WHERE b.v < a.v)::BIGINT AS lower, count(*) FILTER (WHERE b.v = a.v)::BIGINT AS equal FROM a LEFT JOIN a b ON a.l_partkey = b.l_partkey AND b.l_shipdate < a.l_shipdate GROUP BY a.id, a.l_orderkey, a.l_linenumber, a.v
 """)
 def price_position(spark: SparkSession, d: str) -> DataFrame:
     """Where a price stands among the earlier ones of its part: how many were lower, equal, and all."""
-    a = t(spark, d, "lineitem").where("l_partkey % 10 = 3").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", F.col("l_extendedprice").alias("v")).distinct()
-    b = a.select("l_partkey", F.col("l_shipdate").alias("before"), F.col("v").alias("w"))
-    # lines of a part, of which there are some dozens whatever the table
-    both = a.join(b, (a["l_partkey"] == b["l_partkey"]) & (F.col("before") < F.col("l_shipdate")), "left").drop(b["l_partkey"])
-    return both.groupBy("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "v").agg(F.count("w").alias("n"), F.count_if(F.col("w") < F.col("v")).alias("lower"), F.count_if(F.col("w") == F.col("v")).alias("equal")).drop("l_partkey", "l_shipdate")
+    rows = t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.unix_date(F.col("l_shipdate").cast("date")).alias("day"), F.col("l_extendedprice").alias("v"))
+    return events.standing_among_earlier(rows, ["l_partkey"], "day", "v").select("l_orderkey", "l_linenumber", "v", "n", "lower", "equal")
 
 
 @query("""WITH c AS (SELECT p_brand, p_name, count(*) AS n, median(p_retailprice) AS m, CASE WHEN median(p_size) <= 20 THEN 0 WHEN median(p_size) <= 35 THEN 1 ELSE 2 END AS band FROM part GROUP BY 1, 2),
@@ -272,10 +269,12 @@ def stratified_pick(spark: SparkSession, d: str) -> DataFrame:
 SELECT s_suppkey, (row_number() OVER (ORDER BY v DESC NULLS LAST, s_name))::INT AS by_value, (row_number() OVER (ORDER BY v ASC NULLS LAST, s_name))::INT AS by_low, (row_number() OVER (ORDER BY (no::BIGINT % 10), no))::INT AS by_number FROM a
 """)
 def display_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of display, unknown values last, numbers before text; over a dimension of bounded size."""
-    a = t(spark, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"), F.substring_index("s_name", "#", -1).alias("no"))
-    at = lambda *order: F.row_number().over(Window.orderBy(*order))
-    return a.select("s_suppkey", at(F.desc_nulls_last("v"), "s_name").alias("by_value"), at(F.asc_nulls_last("v"), "s_name").alias("by_low"), at(F.col("no").cast("long") % 10, "no").alias("by_number"))
+    """Orders of display, unknown values last, numbers before text: each by ranges, so that no task sorts all."""
+    out = t(spark, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"), F.substring_index("s_name", "#", -1).alias("no"))
+    orders = {"by_value": [F.desc_nulls_last("v"), F.col("s_name")], "by_low": [F.asc_nulls_last("v"), F.col("s_name")], "by_number": [F.col("no").cast("long") % 10, F.col("no")]}
+    for name, order in orders.items():
+        out = ranks.gapless(out, [], order, name)
+    return out.select("s_suppkey", *[F.col(c).cast("int").alias(c) for c in orders])
 
 
 @query("""WITH x AS (SELECT l_partkey AS cell, l_returnflag AS district, CASE WHEN l_extendedprice < 30000 THEN 'low' ELSE 'high' END AS band, l_shipdate AS tm, l_extendedprice AS v, max(l_extendedprice) OVER (PARTITION BY l_partkey ORDER BY l_shipdate RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS before FROM lineitem)
