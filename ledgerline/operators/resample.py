@@ -1,7 +1,8 @@
-"""Resampling intervals and regressions per group, as numpy kernels under applyInPandas.
+"""Resampling intervals and regressions per group, as numpy kernels in tasks.
 
-A group is what one interval or fit is made of: values of one district, one region's series. Its size does not grow
-with the table but with the group, and rows are put in a fixed order first, so results do not depend on partitioning.
+A group is what one interval or fit is made of: values of one district, one region's series. Kernels over arrays hold a group's
+values (8 bytes each) in the order of a key; class_sums() and median_rounds() need only counts, so a group may be of any size.
+Results do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -184,31 +185,147 @@ def yoy_sims(a: int, b: int, was: np.ndarray, now: np.ndarray, rate_was: float,
     return after * rate_now / (before * rate_was) - 1
 
 
-def binomial_interval(k: np.ndarray, n: np.ndarray, level: float = 0.95, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Clopper and Pearson's exact interval of shares k / n, by bisection of binomial tails."""
+def middle_places(uniform: Callable[[int, int], np.ndarray], n: int, at_once: int = AT_ONCE) -> tuple[int, int]:
+    """The two middle ones (one and the same for odd n) of n places drawn below n; uniform(skip, k) gives draws in [0, 1).
+
+    Places are counted in ranges, then those of the ranges that hold the middle are counted one by one from the same draws again:
+    memory is bounded by at_once, whatever n.
+    """
+    ks = ((n - 1) // 2, n // 2)
+    if n <= at_once:
+        picks = (uniform(0, n) * n).astype(np.int64)
+        picks = np.partition(picks, ks)
+        return int(picks[ks[0]]), int(picks[ks[1]])
+    width = -(-n // (1 << 16))
+    counts = np.zeros(-(-n // width), dtype=np.int64)
+    for x in range(0, n, at_once):
+        counts += np.bincount((uniform(x, min(at_once, n - x)) * n).astype(np.int64) // width, minlength=len(counts))
+    upto = np.cumsum(counts)
+    ranges = sorted({int(np.searchsorted(upto, k, side="right")) for k in ks})
+    fine = {r: np.zeros(width, dtype=np.int64) for r in ranges}
+    for x in range(0, n, at_once):
+        picks = (uniform(x, min(at_once, n - x)) * n).astype(np.int64)
+        for r in ranges:
+            fine[r] += np.bincount(picks[picks // width == r] - r * width, minlength=width)
+    out = []
+    for k in ks:
+        r = int(np.searchsorted(upto, k, side="right"))
+        out.append(r * width + int(np.searchsorted(np.cumsum(fine[r]), k - (upto[r] - counts[r]), side="right")))
+    return out[0], out[1]
+
+
+def class_sums(a: int, b: int, counts: np.ndarray, hit: np.ndarray, low: np.ndarray, high: np.ndarray, skip: int, total: int, seed: int = 20261001, at_once: int = AT_ONCE) -> np.ndarray:
+    """stratum_sums() of a stratum whose rows stand class by class: so many rows of each (hit, low, high). Rows are not needed."""
+    n, ends, out = int(counts.sum()), np.cumsum(counts), np.empty((b - a, 4))
+    for x in range(a, b):
+        picked = np.zeros(len(counts), dtype=np.int64)
+        for k in range(0, n, at_once):
+            m = min(at_once, n - k)
+            places = (_uniform(seed, x * total + skip + k, m) * n).astype(np.int64)
+            picked += np.bincount(np.searchsorted(ends, places, side="right"), minlength=len(counts))
+        base = (picked * hit).sum() / n
+        out[x - a] = [v for band in (low, high) for v in ((picked * band * (hit - base)).sum(), (picked * band).sum())]
+    return out
+
+
+def _log_gamma(n: np.ndarray) -> np.ndarray:
+    """ln(gamma(n)) of whole numbers: looked up by distinct value."""
     from math import lgamma
 
+    values, at = np.unique(n, return_inverse=True)
+    return np.array([lgamma(v) for v in values.tolist()])[at]
+
+
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 300) -> np.ndarray:
+    """The regularised incomplete beta function for whole a, b >= 1, all at once, by its continued fraction."""
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x))
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    tiny = 1e-300
+    keep = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(z), 1 / keep(1 - (p + q) * z / (p + 1))
+    h = d.copy()
+    for m in range(1, steps):
+        for top in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / keep(1 + top * d)
+            c = keep(1 + top / c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
+    value = front * h / p
+    return np.where(swap, 1 - value, value)
+
+
+def binomial_interval(k: np.ndarray, n: np.ndarray, level: float = 0.95, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Clopper and Pearson's exact interval of shares k / n: bisection on the beta function, all rows at once. No trials give 0 to 1."""
+    k, n = np.asarray(k, dtype=np.int64), np.asarray(n, dtype=np.int64)
+
+    def solve(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+        lo, hi = np.zeros(len(a)), np.ones(len(a))
+        for _ in range(steps):
+            mid = (lo + hi) / 2
+            below = beta_share(mid, a, b) < share
+            lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+        return (lo + hi) / 2
+
     low, high = np.zeros(len(k)), np.ones(len(k))
-    for i, (x, m) in enumerate(zip(k.tolist(), n.tolist())):
-        at = np.arange(m + 1)
-        ways = lgamma(m + 1) - np.array([lgamma(j + 1) + lgamma(m - j + 1) for j in at])
-
-        def tail(p: float, upper: bool) -> float:
-            own = at[x:] if upper else at[:x + 1]
-            return float(np.exp(ways[own] + own * np.log(p) + (m - own) * np.log1p(-p)).sum())
-
-        for upper in (True, False):
-            if (x == 0 and upper) or (x == m and not upper):
-                continue
-            a, b = 0.0, 1.0
-            for _ in range(steps):
-                mid = (a + b) / 2
-                more = tail(mid, upper) < (1 - level) / 2
-                a, b = (mid, b) if more == upper else (a, mid)
-            (low if upper else high)[i] = (a + b) / 2
+    some, rest = k > 0, k < n
+    if some.any():
+        low[some] = solve(k[some], n[some] - k[some] + 1, (1 - level) / 2)
+    if rest.any():
+        high[rest] = solve(k[rest] + 1, n[rest] - k[rest], (1 + level) / 2)
     return low, high
 
 
+def intervals(groups: DataFrame, keys: list[str], arrays: list[str], kernel: Callable[..., np.ndarray], rounds: int, tail: float = 0.05) -> DataFrame:
+    """(keys, low, high): the percentile interval of kernel(0, rounds, *arrays) for each group, a row with its values as arrays. A task
+    holds one group's values, 8 bytes each, and AT_ONCE draws."""
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+
+    def run(batches):
+        for batch in batches:
+            low, high = [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in arrays)):
+                sims = np.sort(kernel(0, rounds, *[np.asarray(v) if isinstance(v, list) else v for v in row]))
+                low.append(float(sims[int(rounds * tail)]))
+                high.append(float(sims[int(rounds * (1 - tail))]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(low), pa.array(high)], names=[*keys, "low", "high"])
+
+    dealt = groups.select(*dict.fromkeys([*keys, *arrays])).repartition(groups.sparkSession.sparkContext.defaultParallelism, *keys)
+    return dealt.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["low double", "high double"]))
+
+
+def median_rounds(sizes: DataFrame, key: str, values: DataFrame, value: str, rounds: int, seed_of: Callable[[str], int], names: list[str], slice_: int = 20) -> DataFrame:
+    """(key, round, and a column per name) of medians over resampled values of each group in each round, whatever the groups' sizes.
+
+    sizes has a row per key with n_<name> for each name; values has (key, side, rank, value), ranks 1 to n_<name> by value. A round
+    draws the names' values one after the other from the generator of seed_of(key). As values stand in order, the median of
+    a round is that of the places drawn: tasks know only n, find the places, and the values at these are joined.
+    """
+    dealt = sizes.withColumn("__a", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(slice_))))
+    dealt = dealt.select(key, "__a", *[f"n_{c}" for c in names]).repartition(sizes.sparkSession.sparkContext.defaultParallelism, key, "__a")
+    kind = sizes.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, first, *ns in zip(*(batch.column(c).to_pylist() for c in [key, "__a", *[f"n_{c}" for c in names]])):
+                seed, total = seed_of(k), sum(ns)
+                for x in range(first, min(rounds, first + slice_)):
+                    before = x * total
+                    for name, n in zip(names, ns):
+                        lo, hi = middle_places(lambda skip, m, before=before: mulberry(seed, before + skip, m), n)
+                        rows += [{"k": k, "round": x, "side": name, "place": p + 1} for p in (lo, hi)]
+                        before += n
+            out = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("k", batch.schema.field(key).type), ("round", pa.int32()), ("side", pa.string()), ("place", pa.int64())]))
+            yield out
+
+    places = dealt.mapInArrow(run, f"k {kind}, round int, side string, place bigint")
+    at = values.select(F.col(key).alias("k"), "side", F.col("rank").alias("place"), F.col(value).alias("v"))
+    met = places.join(at, ["k", "side", "place"])
+    return met.groupBy(F.col("k").alias(key), "round").agg(*[F.avg(F.when(F.col("side") == c, F.col("v"))).alias(c) for c in names])
+
+
 def by_slices(groups: DataFrame, keys: list[str], arrays: list[str], kernel: Callable[..., np.ndarray], rounds: int, slices: int = 4) -> DataFrame:
     """(keys, sims): kernel(a, b, *arrays) over slices of rounds, each in a task of its own, put together in order.
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import dates
-from ..operators import resample, titles
+from ..operators import ranks, resample, titles
 from ..session import checkpointed, ship
 from .common import t
 
@@ -30,13 +29,11 @@ def _values(rows: DataFrame, keys: list[str], order: list[str], values: list[str
 
 @query()
 def change_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """90 % resampling interval of each brand's median change, 400 rounds in slices."""
+    """90 % resampling interval of each brand's median change over 400 rounds. A brand's cells are one task's."""
     groups = _values(_brand_changes(ship(spark), d), ["p_brand"], ["l_partkey"], ["change"])
-    low, high = resample.interval("sims", 400)
     middle = F.aggregate(F.slice(F.array_sort("change"), F.floor((F.size("change") + 1) / 2).cast("int"), 2 - F.size("change") % 2), F.lit(0.0), lambda a, x: a + x) / (2 - F.size("change") % 2)
     groups = groups.withColumns({"n": F.size("change").cast("long"), "median": middle})
-    sims = resample.by_slices(groups, ["p_brand", "n", "median"], ["change"], resample.median_sims, 400, slices=1)
-    return sims.select("p_brand", "n", "median", low.alias("low"), high.alias("high"))
+    return resample.intervals(groups, ["p_brand", "n", "median"], ["change"], resample.median_sims, 400)
 
 
 @query()
@@ -48,30 +45,33 @@ def gap_intervals(spark: SparkSession, d: str) -> DataFrame:
     groups = checkpointed(_values(per, ["p_brand"], ["l_partkey"], ["recent", "log"]))
     a, b = (groups.select(F.col("p_brand").alias(x), F.col("recent").alias(f"recent_{x}"), F.col("log").alias(f"log_{x}")) for x in "ab")
     pairs = a.join(b, F.col("a") < F.col("b"))
-    sims = resample.by_slices(pairs, ["a", "b"], ["recent_a", "log_a", "recent_b", "log_b"], resample.gap_sims, 200, slices=1)
-    low, high = resample.interval("sims", 200)
-    return sims.select("a", "b", F.floor(low + 0.5).alias("low"), F.floor(high + 0.5).alias("high"))
+    found = resample.intervals(pairs, ["a", "b"], ["recent_a", "log_a", "recent_b", "log_b"], resample.gap_sims, 200)
+    return found.select("a", "b", F.floor(F.col("low") + 0.5).alias("low"), F.floor(F.col("high") + 0.5).alias("high"))
 
 
 @query()
 def stratified_intervals(spark: SparkSession, d: str) -> DataFrame:
     """How much more often dear lines are returned than cheap ones of the same month, with 90 % interval: 100 rounds that
-    draw within months. A month is a task; only sums of a round leave it."""
-    rows = t(ship(spark), d, "lineitem").where(F.year("l_shipdate") == 1997).select(
-        F.month("l_shipdate").alias("m"), "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_returnflag") == "R").cast("double").alias("hit"), (F.col("l_extendedprice") <= 20_000).alias("low"), (F.col("l_extendedprice") > 60_000).alias("high"))
-    months = rows.groupBy("m").agg(F.count("*").alias("n"))
-    # twelve rows
-    skip = F.sum("n").over(Window.orderBy("m")) - F.col("n")
-    months = months.select("m", skip.alias("skip"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    own = rows.join(F.broadcast(months), "m")
-    schema = "m int, round int, low double, n_low double, high double, n_high double"
-
-    def kernel(key, part):
-        part = part.sort_values(["l_orderkey", "l_linenumber", "l_extendedprice"], kind="stable")
-        sums = resample.stratum_sums(0, 100, part["hit"].to_numpy(), part["low"].to_numpy(), part["high"].to_numpy(), int(part["skip"].iloc[0]), int(part["total"].iloc[0]))
-        return pd.DataFrame({"m": key[0], "round": range(100), "low": sums[:, 0], "n_low": sums[:, 1], "high": sums[:, 2], "n_high": sums[:, 3]})
-
-    per = own.groupBy("m").applyInPandas(kernel, schema).groupBy("round").agg((F.sum("high") / F.sum("n_high") - F.sum("low") / F.sum("n_low")).alias("x"))
+    draw within months. Rows of a month that are alike in what counts are one class, and tasks draw from the classes' counts:
+    a month's rows are never gathered, and only sums of a round leave a task."""
+    rows = t(ship(spark), d, "lineitem").select(
+        dates.month_index(F.col("l_shipdate")).alias("m"), (F.col("l_returnflag") == "R").cast("double").alias("hit"), (F.col("l_extendedprice") <= 20_000).alias("low"), (F.col("l_extendedprice") > 60_000).alias("high"))
+    classes = rows.groupBy("m", "hit", "low", "high").agg(F.count("*").alias("c"))
+    months = classes.groupBy("m").agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("hit", "low", "high", "c"))).alias("own"))  # eight classes at most
+    # a row per month
+    w = Window.partitionBy(F.lit(0)).orderBy("m")
+    months = months.select("m", (F.sum("n").over(w) - F.col("n")).alias("skip"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"), "own.hit", "own.low", "own.high", "own.c")
+    dealt = months.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(99), F.lit(10)))).repartition(spark.sparkContext.defaultParallelism, "m", "first")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                sums = resample.class_sums(r["first"], r["first"] + 10, np.array(r["c"]), np.array(r["hit"]), np.array(r["low"]), np.array(r["high"]), r["skip"], r["total"])
+                out += [(r["first"] + k, *x) for k, x in enumerate(sums.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)] if out else [pa.array([], pa.int64())] + [pa.array([], pa.float64())] * 4, names=["round", "low", "n_low", "high", "n_high"])
+
+    per = dealt.mapInArrow(run, "round long, low double, n_low double, high double, n_high double").groupBy("round").agg((F.sum("high") / F.sum("n_high") - F.sum("low") / F.sum("n_low")).alias("x"))
     low, high = resample.interval("sims", 100)
     return per.agg(F.collect_list("x").alias("sims")).select(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
@@ -86,7 +86,7 @@ def cluster_intervals(spark: SparkSession, d: str) -> DataFrame:
     parts = logs.groupBy("p_brand", "l_partkey").agg(F.array_sort(F.collect_list("log")).alias("logs"))
     groups = _values(parts.withColumn("size", F.size("logs")), ["p_brand"], ["l_partkey"], ["logs", "size"]).select("p_brand", F.flatten("logs").alias("logs"), "size")
     groups = checkpointed(groups.where(F.size("size") >= 2))
-    sims = resample.by_slices(groups, ["p_brand"], ["logs", "size"], resample.cluster_sims, 400)
+    sims = resample.by_slices(groups, ["p_brand"], ["logs", "size"], resample.cluster_sims, 400, slices=1)
     swings = resample.by_slices(groups, ["p_brand"], ["logs", "size"], lambda a, b, logs, size: np.array([resample.jitter(logs, size)]), 1, slices=1)
     low, high = resample.interval("sims", 400)
     return sims.select("p_brand", F.round(low, 9).alias("low"), F.round(high, 9).alias("high")).join(swings.select("p_brand", F.round(F.col("sims")[0], 9).alias("jitter")), "p_brand")
@@ -94,19 +94,23 @@ def cluster_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def keyed_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """By segment, change of the cost of the median balance at two rates, 95 % interval of 300 rounds with the key's own draws."""
-    rows = t(ship(spark), d, "customer").where("c_acctbal > 0").select("c_mktsegment", "c_custkey", "c_acctbal", (F.col("c_custkey") % 2).alias("side"))
-    sides = [_values(rows.where(F.col("side") == k), ["c_mktsegment"], ["c_custkey"], ["c_acctbal"]).withColumnRenamed("c_acctbal", n) for k, n in ((0, "was"), (1, "now"))]
-    groups = sides[0].join(sides[1], "c_mktsegment").withColumn("name", F.col("c_mktsegment"))
-    sims = resample.by_slices(groups, ["c_mktsegment"], ["was", "now", "name"], lambda a, b, was, now, name: resample.yoy_sims(a, b, was, now, 4.2, 4.0, resample.key_seed(name, 1)), 300)
-    at = lambda q: F.round(F.element_at(F.array_sort("sims"), int(299 * q) + 1) + (299 * q % 1) * (F.element_at(F.array_sort("sims"), int(299 * q) + 2) - F.element_at(F.array_sort("sims"), int(299 * q) + 1)), 9)
-    return sims.select("c_mktsegment", at(0.025).alias("low"), at(0.975).alias("high"))
+    """By segment, change of the cost of the median balance at two rates, 95 % interval of 300 rounds with the key's own draws. Balances
+    are ranked, tasks draw places, and the balances at the middle ones are looked up: no segment is gathered."""
+    rows = t(ship(spark), d, "customer").where("c_acctbal > 0").select("c_mktsegment", "c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 2 == 0, "was").otherwise("now").alias("side"))
+    ranked = ranks.gapless(rows, ["c_mktsegment", "side"], [F.col("c_acctbal"), F.col("c_custkey")])
+    sizes = rows.groupBy("c_mktsegment").agg(F.count_if(F.col("side") == "was").alias("n_was"), F.count_if(F.col("side") == "now").alias("n_now")).where("n_was > 0 AND n_now > 0")
+    sims = resample.median_rounds(sizes, "c_mktsegment", ranked, "c_acctbal", 300, lambda name: resample.key_seed(name, 1), ["was", "now"])
+    change = F.col("now") * 4.0 / (F.col("was") * 4.2) - 1
+    out = sims.groupBy("c_mktsegment").agg(F.percentile(change, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return out.select("c_mktsegment", F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
 
 
 @query()
 def binomial_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """Exact 95 % interval of the share of returned lines of a supplier's first year."""
-    own = t(ship(spark), d, "lineitem").where(F.year("l_shipdate") == 1996).groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
+    """Exact 95 % interval of the share of returned lines of a supplier's first year, the one of its first line."""
+    rows = t(ship(spark), d, "lineitem").select("l_suppkey", "l_returnflag", F.year("l_shipdate").alias("y"))
+    per = rows.groupBy("l_suppkey", "y").agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
+    own = per.groupBy("l_suppkey").agg(F.min_by(F.struct("k", "n"), "y").alias("x")).select("l_suppkey", "x.k", "x.n")
 
     def run(batches):
         for batch in batches:

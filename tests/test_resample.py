@@ -111,3 +111,129 @@ def test_change_intervals_by_brand(spark):
         low, high = resample.median_interval(np.array(own))
         assert got[brand].n == len(own) and got[brand].low == pytest.approx(low) and got[brand].high == pytest.approx(high)
         assert got[brand].median == pytest.approx(statistics.median(own))
+
+
+def test_middle_places_in_pieces():
+    for n in (1, 2, 7, 1000, 1001, 200_003):
+        g = lambda skip, k: resample.mulberry(99, skip, k)
+        picks = np.sort((g(0, n) * n).astype(int))
+        assert resample.middle_places(g, n) == resample.middle_places(g, n, 500) == (picks[(n - 1) // 2], picks[n // 2])
+
+
+def test_classes_are_rows_in_order():
+    rng = np.random.default_rng(5)
+    rows = sorted((float(rng.integers(0, 2)), bool(rng.random() < 0.4), bool(rng.random() < 0.3)) for _ in range(61))
+    kinds = sorted(set(rows))
+    counts = np.array([rows.count(k) for k in kinds])
+    hit, low, high = (np.array([k[c] for k in kinds]) for c in range(3))
+    want = resample.stratum_sums(3, 9, *[np.array([r[c] for r in rows]) for c in range(3)], 40, 200)
+    for at_once in (1 << 21, 7):
+        assert np.allclose(resample.class_sums(3, 9, counts, hit, low, high, 40, 200, at_once=at_once), want)
+
+
+def test_binomial_intervals_of_many():
+    k = np.array([0, 1, 5, 50, 400, 999, 1000, 0])
+    n = np.array([1, 1, 9, 1000, 1000, 1000, 1000, 0])
+    low, high = resample.binomial_interval(k, n)
+    for x, m, a, b in zip(k.tolist(), n.tolist(), low, high):
+        upper = lambda p: sum(math.exp(math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1) + j * math.log(p) + (m - j) * math.log1p(-p)) for j in range(x, m + 1))
+        lower = lambda p: sum(math.exp(math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1) + j * math.log(p) + (m - j) * math.log1p(-p)) for j in range(x + 1))
+        assert a == 0 if x == 0 else math.isclose(upper(a), 0.025, rel_tol=1e-6)
+        assert b == 1 if x == m else math.isclose(lower(b), 0.025, rel_tol=1e-6)
+
+
+# the registered queries against loops over their own rows
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def brand_rows(spark):
+    """{brand: [(part, 1996's median, 1997's)]} in the order of parts."""
+    prices, out = {}, {}
+    for r in table(spark, "lineitem").collect():
+        if r.l_shipdate.year in (1996, 1997):
+            prices.setdefault(r.l_partkey, {}).setdefault(r.l_shipdate.year, []).append(r.l_extendedprice / r.l_quantity)
+    for r in sorted(table(spark, "part").collect(), key=lambda r: r.p_partkey):
+        own = prices.get(r.p_partkey, {})
+        if len(own) == 2:
+            out.setdefault(r.p_brand, []).append((r.p_partkey, statistics.median(own[1996]), statistics.median(own[1997])))
+    return out
+
+
+def test_gap_intervals_query(spark):
+    rows = brand_rows(spark)
+    arrays = {b: (np.array([x[2] for x in v]), np.log([x[2] / x[1] for x in v])) for b, v in rows.items()}
+    got = {(r.a, r.b): (r.low, r.high) for r in catalog.queries()["gap_intervals"](spark, SF).collect()}
+    assert got.keys() == {(a, b) for a in rows for b in rows if a < b}
+    for (a, b), own in list(got.items())[::17]:
+        sims = np.sort(resample.gap_sims(0, 200, *arrays[a], *arrays[b]))
+        assert own == (math.floor(sims[10] + 0.5), math.floor(sims[190] + 0.5))
+
+
+def test_stratified_intervals_query(spark):
+    months = {}
+    for r in table(spark, "lineitem").collect():
+        months.setdefault((r.l_shipdate.year, r.l_shipdate.month), []).append((float(r.l_returnflag == "R"), r.l_extendedprice <= 20_000, r.l_extendedprice > 60_000))
+    total, skip, sums = sum(map(len, months.values())), 0, np.zeros((100, 4))
+    for m in sorted(months):
+        own = sorted(months[m])
+        sums += resample.stratum_sums(0, 100, *[np.array([r[c] for r in own]) for c in range(3)], skip, total)
+        skip += len(own)
+    x = np.sort(sums[:, 2] / sums[:, 3] - sums[:, 0] / sums[:, 1])
+    (r,) = catalog.queries()["stratified_intervals"](spark, SF).collect()
+    assert math.isclose(r.low, round(x[5], 6), abs_tol=2e-6) and math.isclose(r.high, round(x[95], 6), abs_tol=2e-6)
+
+
+def test_cluster_intervals_query(spark):
+    last, logs = {}, {}
+    brand = {r.p_partkey: r.p_brand for r in table(spark, "part").collect()}
+    rows = [(r.l_partkey, r.l_suppkey, r.l_shipdate, r.l_orderkey, r.l_extendedprice / r.l_quantity) for r in table(spark, "lineitem").collect() if r.l_shipdate.year >= 1997]
+    for part, supp, _, _, unit in sorted(rows):
+        if (part, supp) in last:
+            logs.setdefault(brand[part], {}).setdefault(part, []).append(math.log(unit / last[part, supp]))
+        last[part, supp] = unit
+    got = {r.p_brand: r for r in catalog.queries()["cluster_intervals"](spark, SF).collect()}
+    assert got.keys() == {b for b, parts in logs.items() if len(parts) >= 2}
+    for b, r in got.items():
+        units = [sorted(logs[b][p]) for p in sorted(logs[b])]
+        values, sizes = np.concatenate(units), np.array([len(u) for u in units])
+        sims = np.sort(resample.cluster_sims(0, 400, values, sizes))
+        assert math.isclose(r.low, sims[20], abs_tol=1e-8) and math.isclose(r.high, sims[380], abs_tol=1e-8) and math.isclose(r.jitter, resample.jitter(values, sizes), abs_tol=1e-8)
+
+
+def test_keyed_intervals_query(spark):
+    sides = {}
+    for r in sorted(table(spark, "customer").collect(), key=lambda r: (r.c_acctbal, r.c_custkey)):
+        if r.c_acctbal > 0:
+            sides.setdefault(r.c_mktsegment, ([], []))[r.c_custkey % 2].append(r.c_acctbal)
+    got = {r.c_mktsegment: r for r in catalog.queries()["keyed_intervals"](spark, SF).collect()}
+    assert got.keys() == set(sides)
+    for name, (was, now) in sides.items():
+        sims = resample.yoy_sims(0, 300, np.array(was), np.array(now), 4.2, 4.0, resample.key_seed(name, 1))
+        assert np.allclose([got[name].low, got[name].high], np.quantile(sims, [0.025, 0.975]), atol=1e-8)
+
+
+def test_binomial_intervals_query(spark):
+    years = {}
+    for r in table(spark, "lineitem").collect():
+        years.setdefault(r.l_suppkey, {}).setdefault(r.l_shipdate.year, []).append(r.l_returnflag == "R")
+    got = {r.l_suppkey: (r.k, r.n, r.low, r.high) for r in catalog.queries()["binomial_intervals"](spark, SF).collect()}
+    assert got.keys() == years.keys()
+    for s, own in years.items():
+        first = own[min(own)]
+        low, high = resample.binomial_interval(np.array([sum(first)]), np.array([len(first)]))
+        assert got[s][:2] == (sum(first), len(first)) and np.allclose(got[s][2:], [low[0], high[0]], atol=1e-8)
+
+
+def test_backtests_query(spark):
+    months = {}
+    for r in table(spark, "lineitem").collect():
+        key = r.l_returnflag, r.l_shipdate.year * 12 + r.l_shipdate.month - 1
+        months[key] = months.get(key, 0) + r.l_quantity
+    for r in catalog.queries()["backtests"](spark, SF).collect():
+        series = [months[k] for k in sorted(months) if k[0] == r.l_returnflag]
+        model, still = resample.backtest(np.diff(np.log(series)), r.horizon)
+        assert r.n == len(model) and math.isclose(r.mae, np.abs(model).mean(), rel_tol=1e-9) and math.isclose(r.mae_still, np.abs(still).mean(), rel_tol=1e-9)
+        assert r.win_share == resample.block_win_share(np.abs(still) - np.abs(model))
