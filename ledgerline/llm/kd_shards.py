@@ -21,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.session import checkpointed as cut
-
 from .common import staged, table
 
 BITS, ROUNDS, TIE_BITS = 12, 3, 20
@@ -66,24 +64,40 @@ def _digit(key: Column, n: int) -> Column:
     return F.shiftright(key, BITS * (ROUNDS - 1 - n)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
 
 
+def _median_bins(bins: DataFrame, by: list[str], last: bool) -> DataFrame:
+    """One row per node: the bin of (node, digit, w) in which half of the weight is reached, with what lies below it. `prefix` is that of the
+    key so far; in the last round it is the bound. Bins are 4096 per node at most."""
+    upto = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("digit"))
+    reached = bins.withColumn("upto", upto).where(F.col("upto") * 2 >= F.col("weight"))
+    first = reached.groupBy("node").agg(F.min_by(F.struct("digit", "w", "upto", *by), "digit").alias("b"))
+    here = F.col("b.prefix") * (1 << BITS) + F.col("b.digit")
+    if last:  # the last bin is one key: it goes to the side that leaves the smaller difference
+        over, under = F.col("b.upto") * 2 - F.col("b.weight"), F.col("b.weight") - (F.col("b.upto") - F.col("b.w")) * 2
+        here = here + F.when(over <= under, 1).otherwise(0)
+    return staged(first.select("node", F.col("b.weight").alias("weight"), F.col("b.dim").alias("dim"), (F.col("b.upto") - F.col("b.w")).alias("below"), here.alias("prefix")), "kd-cuts")
+
+
 def _split(rows: DataFrame, n_dims: int, level: int) -> DataFrame:
-    """(node, dim, bound): keys of the node's widest dimension below bound go left. One row per node with rows."""
-    span = rows.groupBy("node").agg(F.sum("size").alias("weight"), *[(F.max(f"d{n}") - F.min(f"d{n}")).alias(f"w{n}") for n in range(n_dims)])
-    widest = F.greatest(*[F.struct(F.col(f"w{n}").alias("w"), F.lit(-n).alias("n")) for n in range(n_dims)])
-    found = cut(span.select("node", "weight", (-widest["n"]).alias("dim"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix")))
-    for n in range(ROUNDS):
+    """(node, dim, bound): keys of the node's widest dimension below bound go left. One row per node with rows.
+
+    The first of the rounds counts all dimensions at once, by the upper 12 bits of their coordinates beside the extremes, and
+    the widest dimension is chosen from the counts.
+    """
+    upper = BITS * (ROUNDS - 1) - TIE_BITS  # bits of a coordinate below its first digit
+    each = rows.select("node", "size", F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), F.col(f"d{n}").alias("d")) for n in range(n_dims)])).alias("x"))
+    digit = F.shiftright("d", upper)
+    counts = each.select("node", "size", "x.*").groupBy("node", "dim", digit.alias("digit")).agg(F.sum("size").alias("w"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    # n_dims x 4096 rows per node at most
+    counts = staged(counts, "kd-counts")
+    span = counts.groupBy("node", "dim").agg(F.sum("w").alias("weight"), (F.max("hi") - F.min("lo")).alias("span"))
+    widest = span.groupBy("node").agg(F.max_by(F.struct("dim", "weight"), F.struct("span", -F.col("dim"))).alias("x")).select("node", "x.dim", "x.weight")
+    zero = F.lit(0).cast("long")
+    bins = counts.join(widest, ["node", "dim"]).withColumns({"below": zero, "prefix": zero})
+    found = _median_bins(bins, ["dim", "weight", "prefix"], ROUNDS == 1)
+    for n in range(1, ROUNDS):
         keyed = _keyed(rows, found, n_dims, level).where(F.shiftright("key", BITS * (ROUNDS - n)) == F.col("prefix"))
         bins = keyed.groupBy("node", "dim", "weight", "below", "prefix", _digit(F.col("key"), n).alias("digit")).agg(F.sum("size").alias("w"))
-        # 4096 rows per node at most
-        upto = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("digit"))
-        # the bin that holds the median; its start is what lies below
-        bins = bins.withColumn("upto", upto).where(F.col("upto") * 2 >= F.col("weight"))
-        first = bins.groupBy("node").agg(F.min_by(F.struct("dim", "weight", "digit", "w", "upto", "prefix"), "digit").alias("b"))
-        here = F.col("b.prefix") * (1 << BITS) + F.col("b.digit")
-        if n + 1 == ROUNDS:  # the last bin is one key: it goes to the side that leaves the smaller difference
-            over, under = F.col("b.upto") * 2 - F.col("b.weight"), F.col("b.weight") - (F.col("b.upto") - F.col("b.w")) * 2
-            here = here + F.when(over <= under, 1).otherwise(0)
-        found = cut(first.select("node", F.col("b.weight").alias("weight"), F.col("b.dim").alias("dim"), (F.col("b.upto") - F.col("b.w")).alias("below"), here.alias("prefix")))
+        found = _median_bins(bins, ["dim", "weight", "prefix"], n + 1 == ROUNDS)
     return found.select("node", "dim", F.col("prefix").alias("bound"))
 
 
@@ -97,12 +111,15 @@ def _keyed(rows: DataFrame, cuts: DataFrame, n_dims: int, level: int) -> DataFra
 
 
 def kd_assign(rows: DataFrame, depth: int, n_dims: int) -> DataFrame:
-    """rows of coordinates() with `node`, the leaf from 0 to 2**depth - 1. Cut tables have a row per node."""
+    """rows of coordinates() with `node`, the leaf from 0 to 2**depth - 1. Cut tables have a row per node; each level's nodes are
+    staged, so that the next one reads them and joins once."""
     out = rows.withColumn("node", F.lit(0))
     for level in range(depth):
         cuts = _split(out, n_dims, level)
         keyed = _keyed(out, cuts, n_dims, level)
         out = keyed.withColumn("node", (F.col("node") * 2 + (F.col("key") >= F.col("bound")).cast("int"))).drop("dim", "bound", "key")
+        if level + 1 < depth:
+            out = staged(out, f"kd-level{level}")
     return out
 
 
