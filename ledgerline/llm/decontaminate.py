@@ -1,9 +1,9 @@
 """Benchmark decontamination by a generalised suffix automaton of the benchmark's words.
 
-The automaton of a chunk of items (at most `chunk_words` words, so the broadcast has a fixed bound) is built on
-the driver and broadcast as flat arrays. Documents stream their words through it; at each word the automaton's state and
-matching length say which windows end there. Items beyond one chunk get automata of their own, one after the other:
-each pass over the documents is staged before the next automaton is built. Nothing is shuffled.
+The automaton of a chunk of items (at most `chunk_words` words, so what a task holds has a fixed bound) is built on
+the driver and written to the shared folder as flat arrays. Documents stream their words through it; at each word the
+automaton's state and matching length say which windows end there. Items beyond one chunk get automata of their own: a task
+takes some 32 MB of texts through one after the other. The documents are read once, nothing is shuffled or broadcast.
 
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. A word of
 a document inside an occurrence of a window is hit.
@@ -19,16 +19,21 @@ import pickle
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _NOT_WORD, plain_words, spread, staged, table, utf8
+from .common import _NOT_WORD, plain_words, scratch, spread, table, utf8
+from .token_files import _open as open_file
+from .token_files import as_uri
 
 WINDOW = 10
 CHUNK_WORDS = 250_000
+#: Bytes of texts that a task takes through all automata, if there are several.
+GATHERED = 32 << 20
 
 
 class SuffixAutomaton:
@@ -203,38 +208,61 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
     ints = F.array().cast("array<int>")
     new_cols = {"hit_from": ints, "hit_to": ints, "cut_from": ints, "cut_to": ints, "hit_items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")}
     new_cols = {prefix + c: x for c, x in new_cols.items()}
-    held = [prefix + c for c in ("hit_from", "hit_to", "hit_items")]
     kinds = (*[pa.list_(pa.int32())] * 4, pa.list_(pa.string()), pa.int64())
-    out = docs.withColumns(new_cols).withColumn("__ll_text", utf8(text_col))
-    shared = None
-    for ids, words in _chunks(benchmark, item_id, item_text, chunk_words):
-        if shared is not None:
-            out = staged(out, "hits")
-            shared.unpersist()
-        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((SuffixAutomaton(words, window), [str(i) for i in ids])))
-
-        def run(batches, shared=shared, new_cols=tuple(new_cols)):
-            automaton, names = pickle.loads(shared.value)
-            for batch in batches:
-                texts = batch.column("__ll_text").to_pylist()
-                new = []
-                for data, a, b, items in zip(texts, *(batch.column(c).to_pylist() for c in held)):
-                    found: set[int] = set()
+    new_names = list(new_cols)
+    folder, paths = scratch(docs.sparkSession, "automata"), []
+    for k, (ids, words) in enumerate(_chunks(benchmark, item_id, item_text, chunk_words)):
+        paths.append(f"{folder}/{k:06d}")
+        with open_file(as_uri(paths[-1]), True) as f:
+            f.write(pickle.dumps((SuffixAutomaton(words, window), [str(i) for i in ids])))
+
+    def run(batches):
+        for held in _gathered(batches, len(paths)):
+            texts = [t for batch in held for t in batch.column("__ll_text").to_pylist()]
+            rows: list[tuple[list, set]] = [([], set()) for _ in texts]
+            words = []
+            for n, path in enumerate(paths):
+                automaton, names = _loaded(path)
+                for k, data in enumerate(texts):
                     split = plain_words(data)
+                    if not n:
+                        words.append(len(split))
+                    found: set[int] = set()
                     hits = automaton.hits(split, found)
-                    if a:  # hits of earlier chunks
-                        hits = _union(hits + list(zip(a, b)))
+                    if hits:
+                        rows[k] = (_union(rows[k][0] + hits) if rows[k][0] else hits, rows[k][1] | {names[i] for i in found})
+            at = 0
+            for batch in held:
+                new = []
+                for (hits, items), data, n in zip(rows[at:at + batch.num_rows], texts[at:at + batch.num_rows], words[at:at + batch.num_rows]):
                     starts, stops = [x for x, _ in hits], [y for _, y in hits]
-                    new.append((starts, stops, *(_places(data, starts, stops) if hits else ([], [])), sorted({*items, *(names[i] for i in found)}), len(split)))
+                    new.append((starts, stops, *(_places(data, starts, stops) if hits else ([], [])), sorted(items), n))
+                at += batch.num_rows
                 cols = [pa.array(x, type=t) for x, t in zip(zip(*new) if new else [[]] * 6, kinds)]
-                names_now = batch.schema.names
-                arrays = [batch.column(k) for k in range(batch.num_columns)]
-                for c, col in zip(new_cols, cols):
-                    arrays[names_now.index(c)] = col
-                yield pa.RecordBatch.from_arrays(arrays, names=names_now)
-
-        out = out.mapInArrow(run, out.schema)
-    return out.drop("__ll_text")
+                keep = [k for k, c in enumerate(batch.schema.names) if c != "__ll_text"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *cols], names=[*[batch.schema.names[k] for k in keep], *new_names])
+
+    base = docs.drop(*new_cols)
+    return base.withColumn("__ll_text", utf8(text_col)).mapInArrow(run, base.withColumns(new_cols).schema)
+
+
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> tuple[SuffixAutomaton, list[str]]:
+    with open_file(as_uri(path), False) as f:
+        return pickle.loads(f.read())
+
+
+def _gathered(batches, automata: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches one by one for one automaton; for several as many as hold GATHERED bytes, as each automaton is loaded anew for them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if automata == 1 or size >= GATHERED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
