@@ -62,3 +62,30 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column, rank: str = "r
 def capped(df: DataFrame, group: str, per_group: int, total: int, *order: Column) -> DataFrame:
     """At most per_group rows of each group, then the first `total` of all."""
     return top_k(df, [group], per_group, *order, rank="__rank").drop("__rank").orderBy(*order).limit(total)
+
+
+def nearest_k(df: DataFrame, keys: list[str], near: str, width: int, value: str, item: str, k: int) -> DataFrame:
+    """(item, other, rank): for each item the k others of the same keys whose whole number `near` is at most `width` away with the nearest
+    value; ties go to the smaller item. Items are distinct; rows with a null find nothing and are found by nothing.
+
+    An item looks into 2 * width + 1 lists (keys, near). In each its place by value is a running count, and only the k + 1 rows on
+    either side of that place are joined, by their numbers in the list: no bucket's rows all meet each other.
+    """
+    rows = df.select(*keys, F.col(near).cast("long").alias("__s"), F.col(value).alias("__v"), F.col(item).alias("__i")).dropna()
+    lists = [*keys, "__s"]
+    number = lambda *order: F.row_number().over(Window.partitionBy(*lists).orderBy(*order))
+    items = rows.withColumns({"__up": number(F.col("__v"), F.col("__i")), "__down": number(F.desc("__v"), F.col("__i"))})
+    probes = rows.withColumn("__s", F.explode(F.sequence(F.col("__s") - width, F.col("__s") + width)))
+    both = probes.withColumn("__is", F.lit(0)).unionByName(rows.withColumn("__is", F.lit(1)))
+    # probes come before items of their value either way, so these count the items below and above it
+    before = lambda *order: F.sum("__is").over(Window.partitionBy(*lists).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    at = both.withColumns({"__less": before(F.col("__v"), F.col("__is")), "__more": before(F.desc("__v"), F.col("__is"))}).where("__is = 0").drop("__is")
+    look = lambda c: F.sequence(F.col(c) + 1, F.col(c) + k + 1)
+    found = None
+    for start, rank in (("__less", "__up"), ("__more", "__down")):
+        wanted = at.select(*lists, "__v", "__i", F.explode(look(start)).alias(rank))
+        side = items.select(*lists, F.col("__v").alias("__w"), F.col("__i").alias("__j"), F.col(rank).cast("long").alias(rank))
+        part = wanted.join(side, [*lists, rank]).where("__i <> __j").select("__i", "__j", F.abs(F.col("__v") - F.col("__w")).alias("__d"))
+        found = part if found is None else found.unionByName(part)
+    best = top_k(found.distinct(), ["__i"], k, F.col("__d"), F.col("__j"))
+    return best.select(F.col("__i").alias(item), F.col("__j").alias("other"), "rank")

@@ -179,9 +179,6 @@ SELECT a.p_partkey, b.p_partkey AS similar_key, (row_number() OVER w)::INT AS ra
 WINDOW w AS (PARTITION BY a.p_partkey ORDER BY abs(a.p_retailprice - b.p_retailprice), b.p_partkey) QUALIFY row_number() OVER w <= 3
 """)
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
-    """The three parts of the same brand and nearly the same size with the nearest price; sizes meet in buckets."""
-    p = t(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    a = p.withColumn("s", F.explode(F.sequence(F.col("p_size") - 3, F.col("p_size") + 3)))
-    b = p.select(F.col("p_partkey").alias("similar_key"), "p_brand", F.col("p_size").alias("s"), F.col("p_retailprice").alias("price"))
-    pairs = a.join(b, ["p_brand", "s"]).where("p_partkey <> similar_key")
-    return lookup.top_k(pairs, ["p_partkey"], 3, F.abs(F.col("p_retailprice") - F.col("price")), F.col("similar_key")).select("p_partkey", "similar_key", "rank")
+    """The three parts of the same brand and nearly the same size with the nearest price."""
+    out = lookup.nearest_k(t(spark, d, "part"), ["p_brand"], "p_size", 3, "p_retailprice", "p_partkey", 3)
+    return out.select("p_partkey", F.col("other").alias("similar_key"), "rank")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import entities, matching, ranks
+from ledgerline.operators import entities, lookup, matching, ranks
 
 
 def brute_mentions(text, names):
@@ -106,3 +106,16 @@ def test_seeded_ranks_resume(spark):
     parts = [ranks.rank_range(df, ["id"], 3, a, 700) for a in (1, 701)]
     assert [sorted(r["rank"] for r in p.collect()) for p in parts] == [list(range(1, 701)), list(range(701, 1401))]
     assert ranks.seeded_ranks(df.limit(0), ["id"], 3).count() == 0
+
+
+def test_nearest_others_equal_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["a", "a", "b", None]), rng.randint(0, 8), rng.choice([None, 1.0, 2.0, 2.5, float(rng.randint(0, 30))])) for k in range(250)] + [(900, "lone", 3, 1.0)]
+    got = {}
+    for r in lookup.nearest_k(spark.createDataFrame(rows, "id int, g string, s int, v double").repartition(4), ["g"], "s", 2, "v", "id", 3).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other))
+    whole = [r for r in rows if None not in r]
+    for k, g, s, v in whole:
+        want = sorted((abs(v - w), j) for j, h, u, w in whole if j != k and h == g and abs(u - s) <= 2)[:3]
+        assert [j for _, j in sorted(got.get(k, []))] == [j for _, j in want]
+    assert got.keys() <= {r[0] for r in whole}
