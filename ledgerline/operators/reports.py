@@ -97,3 +97,13 @@ def top_within_top(df: DataFrame, group: str, part: str, groups: int, parts: int
 def latest_point(df: DataFrame, keys: list[str], month: str, value: str, now: int, oldest: int) -> DataFrame:
     """(keys, month, value) of the latest month index with a value that is at most `oldest` months before now; groups without one are left out."""
     return df.where(F.col(value).isNotNull() & F.col(month).between(now - oldest, now)).groupBy(*keys).agg(F.max(month).alias(month), F.max_by(value, month).alias(value))
+
+
+def in_band(files: DataFrame, group: str, cells: str, levels: list[str], low: float, high: float, n: str = "n", middle: str = "middle") -> DataFrame:
+    """(group, levels..., n, middle, place) of nested maps of cells (struct with n and middle), one level of names after the other: the cells whose
+    middle is in [low, high), in each group by falling n, then middle, then names. Empty maps and null cells have no rows."""
+    flat = files.select(group, F.col(cells).alias("__m"))
+    for k, name in enumerate(levels):
+        flat = flat.select(group, *levels[:k], F.explode("__m").alias(name, "__m"))
+    rows = flat.select(group, *levels, F.col(f"__m.{n}").alias(n), F.col(f"__m.{middle}").alias(middle)).where((F.col(middle) >= low) & (F.col(middle) < high))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(n), middle, *levels)))

@@ -155,3 +155,25 @@ def unverified_numbers(spark: SparkSession, d: str) -> DataFrame:
     docs = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     half = F.expr("left(text, char_length(text) div 2)")
     return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\d[\d,.]*)"))).alias("numbers"), F.array_join(text.unverified_numbers(F.col("text"), half), " ").alias("unverified"))
+
+
+@query("""SELECT p_brand, p_name, p_size, n::BIGINT AS n, middle, (row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, middle, p_name, p_size))::INT AS place FROM (
+  SELECT p_brand, p_name, p_size, count(*) AS n, round(median(p_retailprice), 4) AS middle FROM part GROUP BY 1, 2, 3) WHERE middle >= 930 AND middle < 970""")
+def candidates_in_band(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a file per brand, as it is stored (maps of maps by name and size), flattened; those whose middle price lies in a band, the most
+    traded first, then the cheapest, then by name."""
+    cells = t(spark, d, "part").groupBy("p_brand", "p_name", "p_size").agg(F.struct(F.count("*").alias("n"), F.round(F.median("p_retailprice"), 4).alias("middle")).alias("c"))
+    by_size = cells.groupBy("p_brand", "p_name").agg(F.map_from_entries(F.collect_list(F.struct("p_size", "c"))).alias("sizes"))  # fifty sizes at most
+    files = by_size.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_name", "sizes"))).alias("cells"))  # names of a brand, a file's content
+    return reports.in_band(files, "p_brand", "cells", ["p_name", "p_size"], 930, 970)
+
+
+@query("""WITH s AS (SELECT p_brand, p_name, median(l_extendedprice / l_quantity) AS sale, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F' GROUP BY 1, 2),
+r AS (SELECT p_brand, p_name, median(l_extendedprice / l_quantity) AS rent, count(*) AS m FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT p_brand, p_name, n::BIGINT AS n, round(sale, 6) AS sale, m::BIGINT AS m, round(rent, 6) AS rent, round(rent / sale * 100, 4) AS ratio FROM s LEFT JOIN r USING (p_brand, p_name)""")
+def attached_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A table of one kind of deals with the other kind's columns of the same cell beside it, where that has three rows."""
+    line = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
+    side = lambda s, v, n: line.where(F.col("l_linestatus") == s).groupBy("p_brand", "p_name").agg(F.median("unit").alias(v), F.count("*").alias(n))
+    both = side("F", "sale", "n").join(side("O", "rent", "m").where("m >= 3"), ["p_brand", "p_name"], "left")
+    return both.select("p_brand", "p_name", "n", F.round("sale", 6).alias("sale"), "m", F.round("rent", 6).alias("rent"), F.round(F.col("rent") / F.col("sale") * 100, 4).alias("ratio"))

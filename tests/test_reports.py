@@ -70,3 +70,10 @@ def test_standing_among_earlier(spark):
     for k, (c, d, v) in enumerate(rows):
         before = [x[2] for x in rows if x[0] == c and x[1] < d and x[2] is not None]
         assert got[k] == ((None,) * 3 if v is None else (len(before), sum(x < v for x in before), sum(x == v for x in before)))
+
+
+def test_nested_cells_in_a_band(spark):
+    rows = [("g", {"a": {1: (3, 5.0), 2: (9, 7.0)}, "b": {1: (3, 4.0), 3: None}, "c": {}}), ("h", {}), (None, {"z": {1: (1, 4.0)}})]
+    df = spark.createDataFrame(rows, "g string, m map<string,map<int,struct<n:int,middle:double>>>")
+    got = reports.in_band(df, "g", "m", ["name", "size"], 4.0, 7.0).collect()
+    assert sorted(map(tuple, got), key=repr) == [("g", "a", 1, 3, 5.0, 2), ("g", "b", 1, 3, 4.0, 1), (None, "z", 1, 1, 4.0, 1)]
