@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import staged, table
 
@@ -141,8 +142,9 @@ def _expanded(buckets: DataFrame, group: str, carried: list[str], fanout: int, l
     root to the top, its group's root and the top. A record batch holds the nodes of one bucket."""
     size = fanout ** levels
     schema = buckets.select(group, "n", F.lit("").alias("node"), "subroot", "top", F.col("up").alias("path"), *[F.lit("").alias(c) for c in carried]).schema
-    count = F.col("count")
-    rows = buckets.select(group, "n", count, "nodes", "subroot", "top", "up", *carried)
+    # what is carried, and a group, may be null
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
+    rows = buckets.select(group, "n", "count", "nodes", "subroot", "top", "up", *carried)
 
     def run(batches):
         for batch in batches:

@@ -202,7 +202,7 @@ def run_manifest(spark, rows, folder):
 def odd_rows(n):
     rng = random.Random(n)
     rows = [(k, rng.choice(["s", None]), rng.choice(["en", "de", "é", None, "en"]), k, rng.choice(["Text", "", None, "É A b"])) for k in range(n)]
-    return [*rows, (None, None, None, None, None), (None, "x", "en", 1, "A"), *[rows[0]] * 3, (1, "other", rows[1][2], 5, "one id twice")] if n else []
+    return [*rows, (None, None, None, None, None), (None, "x", "en", 1, "A"), *[rows[0]] * 3, (1, "other", rows[-1][2], 5, "one id twice")] if n else []
 
 
 @pytest.mark.parametrize("n", [0, 1, 9, 700])
