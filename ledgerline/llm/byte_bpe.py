@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table, utf8
+from .common import spread, table, trimmed, utf8
 
 #: Characters (or ids, in decoding) up to which a part is not halved.
 LEAF = 1 << 8
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
             new = [pa.array(coded, pa.binary()), pa.array(counts, pa.int64()), *([pa.array(decoded, pa.binary())] if decoded_col else [])]
             yield pa.RecordBatch.from_arrays([*cols, *new], names=[*names, ids_col, "n_tokens", *([decoded_col] if decoded_col else [])])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(trimmed(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -199,7 +199,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
             out = pa.array([own.decode(np.frombuffer(x or b"", dtype="<u4")) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(trimmed(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,36 @@ def ready(spark: SparkSession, batch_rows: int = 1_000) -> SparkSession:
     return ship(spark)
 
 
+#: Paths that scratch() gave out within each kept_only() that is open.
+_OPEN: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def kept_only(spark: SparkSession):
+    """Within it scratch tables are noted; drop(but) of what it gives deletes them, those in `but` excepted. For work of several steps
+    whose result is written: what a step staged on its way is of no use once the next one's table is there."""
+    made: list[str] = []
+    _OPEN.append(made)
+
+    def drop(but: list[str]) -> None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in [p for p in made if p not in but]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+            made.remove(path)
+
+    try:
+        yield made, drop
+    finally:
+        _OPEN.remove(made)
 
 
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -32,6 +61,31 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _release() -> None:
+    """Give memory that this process has let go back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """run, a function over a task's batches, after which the worker gives back what the task held: workers outlive
+    their tasks, and the next stage's have the executor's memory beside them."""
+    def wrapped(batches):
+        yield from run(batches)
+        _release()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

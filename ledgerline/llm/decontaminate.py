@@ -19,14 +19,13 @@ import pickle
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _NOT_WORD, plain_words, scratch, spread, table, utf8
+from .common import _NOT_WORD, plain_words, scratch, spread, table, trimmed, utf8
 from .token_files import _open as open_file
 from .token_files import as_uri
 
@@ -217,12 +216,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
             f.write(pickle.dumps((SuffixAutomaton(words, window), [str(i) for i in ids])))
 
     def run(batches):
+        loaded = None, None  # the last automaton, let go with the task
         for held in _gathered(batches, len(paths)):
             texts = [t for batch in held for t in batch.column("__ll_text").to_pylist()]
             rows: list[tuple[list, set]] = [([], set()) for _ in texts]
             words = []
             for n, path in enumerate(paths):
-                automaton, names = _loaded(path)
+                if loaded[0] != path:
+                    loaded = path, _load(path)
+                automaton, names = loaded[1]
                 for k, data in enumerate(texts):
                     split = plain_words(data)
                     if not n:
@@ -243,11 +245,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *cols], names=[*[batch.schema.names[k] for k in keep], *new_names])
 
     base = docs.drop(*new_cols)
-    return base.withColumn("__ll_text", utf8(text_col)).mapInArrow(run, base.withColumns(new_cols).schema)
+    return base.withColumn("__ll_text", utf8(text_col)).mapInArrow(trimmed(run), base.withColumns(new_cols).schema)
 
 
-@lru_cache(maxsize=1)
-def _loaded(path: str) -> tuple[SuffixAutomaton, list[str]]:
+def _load(path: str) -> tuple[SuffixAutomaton, list[str]]:
     with open_file(as_uri(path), False) as f:
         return pickle.loads(f.read())
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import checkpointed as cut
 
-from .common import space_words, spread, staged, table, utf8
+from .common import space_words, spread, staged, table, trimmed, utf8
 
 BANDS, ROWS = 42, 5
 #: Entries of a Python worker's cache of word hashes; it is emptied when full.
@@ -119,7 +119,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], names=["id", "f1", "f2", "n", "bands"])
 
-    return docs.mapInArrow(run, "id long, f1 long, f2 long, n long, bands array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, f1 long, f2 long, n long, bands array<long>")
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in h], pa.int64()), pa.array([x.view(np.int64) for x in h], longs), pa.array([parity(x) for x in h], longs)], names=["id", "n", "set", "bits"])
 
-    return docs.mapInArrow(run, "id long, n long, set array<long>, bits array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, n long, set array<long>, bits array<long>")
 
 
 def may_link(bits: str, bits_y: str, n: Column, n_y: Column, percent: int) -> Column:
