@@ -18,6 +18,7 @@ columns pass through, own output columns are replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _NOT_WORD, spread, table, utf8
+from .common import _NOT_WORD, scratch, spread, table, trimmed, utf8
 from .labelled import arrow_rows, class_counts, fold, picked, platt, weights
+from .token_files import _open as open_file
+from .token_files import as_uri
 
-NEIGHBOURS = 10
+NEIGHBOURS = 5
 BLOCK = 64
 #: Terms of at least this share of the examples are kept dense; texts whose dense products are made at once.
 DENSE, AT_ONCE = 1 / 8, 32
@@ -36,7 +39,7 @@ DENSE, AT_ONCE = 1 / 8, 32
 PIECE = 1 << 20
 TF, IDF = 0.7, 1.5
 #: Similarity's weight that stands for no evidence.
-PRIOR = 0.3
+PRIOR = 0.1
 THRESHOLD = 0.3
 #: Differences of similarities that count as none.
 SAME = 1e-9
@@ -140,12 +143,14 @@ class BlockMaxIndex:
 
 
 class Model:
-    """examples: (grams, label) of labelled texts, a list that is used up; counts: labelled rows of each class."""
+    """examples: (grams, label) of labelled texts, a list that is used up; counts: labelled rows of each class; ids: what the
+    examples are known by, in evidence only."""
 
-    def __init__(self, examples: list[tuple[Vector, int]], counts: tuple[int, int]):
+    def __init__(self, examples: list[tuple[Vector, int]], counts: tuple[int, int], ids: list[str] | None = None):
         self.share = counts[1] / sum(counts) if sum(counts) else 0.0
         self.slope, self.offset = 0.0, float(np.log((self.share + 1e-6) / (1 - self.share + 1e-6)))
         self.labels = np.array([y for _, y in examples], dtype=np.int8)
+        self.ids = list(ids) if ids else [str(i) for i in range(len(examples))]
         self.terms, self.idf = np.zeros(0, dtype=np.int32), np.zeros(0)
         self.index = BlockMaxIndex([], 0)
         if {y for _, y in examples} != {0, 1}:
@@ -159,7 +164,7 @@ class Model:
         # examples with the same leading term stand together, so that blocks differ in their maxima
         lead = [int(t[np.argmax(v)]) if len(t) else len(self.terms) for t, v in own]
         order = sorted(range(len(own)), key=lambda i: (lead[i], i))
-        self.labels, own = self.labels[order], [own[i] for i in order]
+        self.labels, self.ids, own = self.labels[order], [self.ids[i] for i in order], [own[i] for i in order]
         self.index = BlockMaxIndex(own, len(self.terms))
         votes = np.array([self.vote(near) for near in self._nearest(own, own_place=True)])
         self.slope, self.offset = platt(votes * 4, self.labels.astype(float), weights(self.labels, counts))
@@ -208,28 +213,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     got = rows.mapInArrow(run, "place long, id string, digest string, label int, codes binary, counts binary").collect()
     got.sort(key=lambda r: (r.place, r.id, r.digest))
     examples = [((np.frombuffer(r.codes, dtype=np.int32), np.frombuffer(r["counts"], dtype=np.int64)), r.label) for r in got]
+    ids = [r.id for r in got]
     del got
-    return Model(examples, class_counts(labels, label, learn))
+    return Model(examples, class_counts(labels, label, learn), ids)
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity", evidence_col: str | None = "evidence") -> DataFrame:
-    """docs with score_col and evidence_col, if given: the neighbours' (similarity, label), nearest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """docs with score_col and evidence_col, if given: the neighbours' (similarity, label, example: the id
+    of the labelled text), nearest first."""
+    path = f"{scratch(docs.sparkSession, 'toxicity')}/model"
+    with open_file(as_uri(path), True) as f:
+        f.write(pickle.dumps(model))
     base = docs.drop(score_col, *([evidence_col] if evidence_col else []))
-    evidence = {evidence_col: F.array().cast("array<struct<similarity:double,label:int>>")} if evidence_col else {}
+    evidence = {evidence_col: F.array().cast("array<struct<similarity:double,label:int,example:string>>")} if evidence_col else {}
     schema = base.withColumns({score_col: F.lit(0.0)} | evidence).schema
 
     def run(batches):
-        own = shared.value
-        kind = pa.list_(pa.struct([("similarity", pa.float64()), ("label", pa.int32())]))
+        with open_file(as_uri(path), False) as f:
+            own = pickle.loads(f.read())  # let go with the task
+        kind = pa.list_(pa.struct([("similarity", pa.float64()), ("label", pa.int32()), ("example", pa.string())]))
         for batch, texts in arrow_rows(batches, "__ll_text"):
             near = own.neighbours(texts)
             new = [pa.array([own.probability(x) for x in near], pa.float64())]
             if evidence_col:
-                new.append(pa.array([[{"similarity": s, "label": int(own.labels[i])} for s, i in x] for x in near], kind))
+                new.append(pa.array([[{"similarity": s, "label": int(own.labels[i]), "example": own.ids[i]} for s, i in x] for x in near], kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, score_col, *([evidence_col] if evidence_col else [])])
 
-    return base.withColumn("__ll_text", utf8(text_col)).mapInArrow(run, schema)
+    return base.withColumn("__ll_text", utf8(text_col)).mapInArrow(trimmed(run), schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
