@@ -415,3 +415,5 @@ def test_evidence(spark):
     labels = spark.createDataFrame([(i, int(i < 4)) for i in range(8)], "doc_id long, toxic int")
     got = {r.doc_id: r.evidence for r in toxicity.toxicity(df, toxicity.fit(df, labels, F.lit(True))).collect()}
     assert got[9] == [] and all(0 < e.similarity <= 1 + 1e-9 for e in got[8])
+    assert [(e.example in {"0", "1", "2", "3"}, e.label) for e in got[8]] == [(True, 1)] * 4
+    assert {e.example for e in got[5]} >= {"4", "5", "6", "7"}

@@ -159,6 +159,14 @@ def test_op9(spark, texts):
         slots.setdefault(r.shard, []).append(r.slot)
         sizes[r.shard] = sizes.get(r.shard, 0) + r["size"]
     assert set(slots) <= set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # equal texts stay together, and shards differ by no more than the heaviest group of them on each of four cuts
+    groups, where = Counter(), {}
+    for r in got:
+        groups[data[r.doc_id]] += r["size"]
+        where.setdefault(data[r.doc_id], set()).add(r.shard)
+    share, heaviest = sum(sizes.values()) / 16, max(groups.values())
+    assert all(len(s) == 1 for x, s in where.items() if groups[x] <= share)
+    assert all(abs(n - share) <= 2 * heaviest for n in sizes.values())
 
 
 def test_op10(spark, texts, items):
@@ -200,3 +208,16 @@ def test_pipeline(spark, texts, items):
     want = {(i, len(ids := encode(x)), byte_bpe.sha256_of_ids(ids), hashlib.sha256(x.encode()).hexdigest()) for i, x in left.items()}
     got = corpus_pipeline.run(spark, SF).collect()
     assert len(got) == len(left) and {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_only_the_last_table_of_the_pipeline_stays(spark):
+    import os
+
+    from ledgerline.session import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF)
+    # checkpoints aside, which Spark keeps in a folder per application
+    left = [n for n in set(os.listdir(folder)) - before if "-" in n and not n.count("-") == 4]
+    assert len(left) == 1 and left[0].startswith("pipeline-byte_bpe") and out.count() > 0
