@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import byte_bpe, decontaminate, line_dedup, near_dedup, toxicity
-from ledgerline.llm.common import ready, staged, table
+from ledgerline.llm.common import kept_only, ready, staged, table
 from ledgerline.llm.labelled import fold
 
 #: Documents with a toxicity of at least this go: those that op3_toxicity predicts toxic.
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage's table. A stage's input, and what the stage itself staged, is deleted once its output is written."""
     docs = table(ready(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with kept_only(spark) as (made, drop):
+        for name, stage in STAGES:
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            drop(but=made[-1:])
     return docs
