@@ -25,7 +25,7 @@ from .common import scratch, staged
 
 _SPACE = "' \\t\\n\\u000b\\f\\r'"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RUN = "k1 long, k2 long, n_docs long, last_doc long, fresh boolean"
+RUN = "k1 long, k2 long, n_docs long, last_doc {kind}, fresh boolean"
 
 
 def _row(text: Column) -> list[Column]:
@@ -43,10 +43,10 @@ def long_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class LineRuns:
-    """Levelled sorted runs of line keys under one folder."""
+    """Levelled sorted runs of line keys under one folder; kind: the ids' type."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout, self.root = spark, fanout, scratch(spark, "line-runs")
+    def __init__(self, spark: SparkSession, fanout: int = 2, kind: str = "long"):
+        self.spark, self.fanout, self.root, self.schema = spark, fanout, scratch(spark, "line-runs"), RUN.format(kind=kind)
         self.levels: list[list[str]] = [[]]
         self._made = 0
 
@@ -61,7 +61,7 @@ class LineRuns:
     def rows(self) -> DataFrame:
         """The rows of all runs; a key may have one in each."""
         paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def merged(self, rows: DataFrame | None = None) -> DataFrame:
         """One row per key over all runs."""
@@ -85,7 +85,7 @@ class LineRuns:
         if len(self.levels[level]) < self.fanout:
             return
         runs, self.levels[level] = self.levels[level], []
-        self._write(self.merged(self.spark.read.schema(RUN).parquet(*runs)), level + 1)
+        self._write(self.merged(self.spark.read.schema(self.schema).parquet(*runs)), level + 1)
         self._compact(level + 1)
 
 
@@ -105,7 +105,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # null ids come last, with the smallest
     batch = F.coalesce(sum((F.col("doc") <= F.lit(c)).cast("int") for c in cuts), F.lit(len(cuts))) if cuts else F.lit(0)
     lines = staged(lines.withColumn("batch", batch), "lines", "batch")
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(spark, fanout, docs.schema[id_col].dataType.simpleString())
     for b in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == b))
     repeated = runs.merged().where(F.col("n_docs") >= min_docs).select("k1", "k2", "last_doc")
