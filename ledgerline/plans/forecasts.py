@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import dates
-from ..operators import cells, correlate, forecasts
+from ..operators import correlate, forecasts
+from ..session import checkpointed
 from .common import r, t
 
 #: A month is published this many months after it.
@@ -84,11 +85,12 @@ def _points(lines: DataFrame) -> DataFrame:
 
 def _log(lines: DataFrame) -> DataFrame:
     """The log after all builds: forecasts of all origins, drifts filled, scores frozen at the first build that had them."""
-    own = forecasts.entries(_judged(lines), ["region"], "m")
+    # the log reads both several times: a row per origin, and a row per month and build
+    own = checkpointed(forecasts.entries(_judged(lines), ["region"], "m"))
     old = own.withColumn("drift", F.when(F.col("origin") >= NO_DRIFT_BEFORE, F.col("drift")))
     blank = old.withColumns({"drift_added_on": F.lit(None).cast("int"), "actual": F.lit(None).cast("double"), "scored_on": F.lit(None).cast("int")})
     filled = forecasts.drift_filled(blank, own, ["region"], F.lit(FILLED_ON))
-    return forecasts.frozen(filled, _points(lines), ["region"], "m", "build", "y")
+    return forecasts.frozen(filled, checkpointed(_points(lines)), ["region"], "m", "build", "y")
 
 
 @query("WITH " + _PREDICTED + "SELECT region, m::INT AS m, h::INT AS h, round(model, 6) AS model, round(drift, 6) AS drift, round(truth, 6) AS truth, round(low, 6) AS low, round(high, 6) AS high FROM j")
