@@ -119,6 +119,24 @@ def test_near_groups_rounds_and_null_ids(spark):
     assert near_dedup.near_groups(docs_of(spark, [])).count() == 0
 
 
+def test_near_rounds_leave_closed_buckets(spark, monkeypatch):
+    """Members of a bucket that one component fills are not seen again in the rounds that follow."""
+    copies = [" ".join(f"c{j}" for j in range(60)) + f" x{i}" for i in range(30)]  # all linked in the first round
+    chain = [" ".join(f"w{j}" for j in range(i * 4, i * 4 + 60)) for i in range(60)]
+    seen, own = [], near_dedup.staged
+
+    def noted(df, name, *more):
+        out = own(df, name, *more)
+        if name == "near-open":
+            seen.append({r.id for r in out.select("id").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", noted)
+    near_dedup.near_groups(docs_of(spark, copies + chain), words=2, percent=80).collect()
+    assert set(range(30)) <= seen[0] and len(seen) > 1
+    assert all(later < earlier for earlier, later in zip(seen, seen[1:])) and not seen[-1] & set(range(30))
+
+
 # --- lines ---
 
 def brute_lines(rows, least=40, docs=5):
