@@ -36,16 +36,24 @@ def as_of_months(left: DataFrame, levels: DataFrame, day: str, value: str) -> Da
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, tolerance: float, tie: str) -> DataFrame:
     """left with the right row of the same keys whose y is nearest to x and less than tolerance away; ties by `tie`.
 
-    Values are put in buckets of the tolerance's width; each left row looks into three. Equal left rows are looked up
-    once and come back as often as they are there; rows with a null in the keys or x find nothing.
+    Values are put in buckets of the tolerance's width; each left row looks into three. In a bucket both sides are merged in
+    order and the last right row is carried, once up and once down, so no bucket's rows all meet each other. Equal left
+    rows are looked up once and come back as often as they are there; rows with a null in the keys or x find nothing.
     """
-    own = left.columns
-    mine = left.groupBy(*own).agg(F.count("*").alias("__copies")).withColumn("__bucket", F.explode(F.array(*[F.floor(F.col(x) / tolerance) + k for k in (-1, 0, 1)])))
-    theirs = right.withColumn("__bucket", F.floor(F.col(y) / tolerance))
-    found = mine.join(theirs, [*keys, "__bucket"]).where(F.abs(F.col(x) - F.col(y)) < tolerance)
-    rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.abs(F.col(x) - F.col(y)), tie))
-    best = found.withColumn("__rank", rank).where("__rank = 1").drop("__bucket", "__rank")
-    return best.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies")
+    own, others = left.columns, [c for c in right.columns if c not in keys]
+    spot = [*keys, "__bucket"]
+    mine = left.groupBy(*own).agg(F.count("*").alias("__copies")).dropna(subset=[*keys, x])
+    probes = mine.select(
+        *keys, F.explode(F.array(*[F.floor(F.col(x) / tolerance) + k for k in (-1, 0, 1)])).alias("__bucket"), F.col(x).alias("__at"), F.lit(1).alias("__side"),
+        F.struct(*own, "__copies").alias("__mine"))
+    # of rows with the same y only the first by `tie` can be found; a null is the first
+    theirs = right.dropna(subset=[*keys, y]).withColumn("__bucket", F.floor(F.col(y) / tolerance)).groupBy(*spot, F.col(y).alias("__at")).agg(F.min_by(F.struct(*others), F.struct(tie)).alias("__theirs"))
+    run = probes.unionByName(theirs.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    last = lambda order: F.last("__theirs", ignorenulls=True).over(Window.partitionBy(*spot).orderBy(order, "__side").rowsBetween(Window.unboundedPreceding, 0))
+    met = run.select("__side", "__mine", last(F.col("__at")).alias("__low"), last(F.desc("__at")).alias("__high")).where("__side = 1")
+    found = met.select("__mine", F.explode(F.array("__low", "__high")).alias("__theirs")).select("__mine.*", "__theirs").where(F.abs(F.col(x) - F.col(f"__theirs.{y}")) < tolerance)
+    best = found.groupBy(*own, "__copies").agg(F.min_by("__theirs", F.struct(F.abs(F.col(x) - F.col(f"__theirs.{y}")), F.col(f"__theirs.{tie}"))).alias("__theirs"))
+    return best.select(*keys, *[c for c in own if c not in keys], "__theirs.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def neighbours(df: DataFrame, order: str, name: str) -> DataFrame:

@@ -140,3 +140,20 @@ def test_nearest_within_keeps_equal_rows(spark):
     right = spark.createDataFrame([("k", 1.5, 2), ("k", 0.5, 1)], "k string, y double, tie int")
     got = lookup.nearest_within(left, right, ["k"], "x", "y", 2.0, "tie").collect()
     assert [(r.k, r.x, r.tie) for r in got] == [("k", 1.0, 1), ("k", 1.0, 1)]
+
+
+def test_nearest_within_joins_no_buckets(spark):
+    """Many rows of both sides in one bucket: nearest and ties as in a loop, without a join of the bucket's rows."""
+    rnd = random.Random(5)
+    left = [(rnd.choice(["a", "b", None]), rnd.choice([None, float("nan"), float(rnd.randint(0, 400))]), i) for i in range(300)]
+    right = [(rnd.choice(["a", "b", None]), rnd.choice([None, float("nan"), rnd.randint(0, 800) / 2]), rnd.choice([None, i % 50]), i) for i in range(600)]
+    a, b = spark.createDataFrame(left, "k string, x double, id int"), spark.createDataFrame(right, "k string, y double, tie int, other int")
+    for tolerance in (0.5, 3.0, 1000.0):
+        got = lookup.nearest_within(a, b, ["k"], "x", "y", tolerance, "tie")
+        assert got.columns == ["k", "x", "id", "y", "tie", "other"] and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for k, x, i in left:
+            near = [(abs(x - y), tie is not None, tie or 0) for q, y, tie, _ in right if k is not None and q == k and x is not None and y is not None and abs(x - y) < tolerance]
+            if near:
+                want[i] = min(near)
+        assert {r.id: (abs(r.x - r.y), r.tie is not None, r.tie or 0) for r in got.collect()} == want
