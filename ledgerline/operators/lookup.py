@@ -76,24 +76,22 @@ def nearest_k(df: DataFrame, keys: list[str], near: str, width: int, value: str,
     """(item, other, rank): for each item the k others of the same keys whose whole number `near` is at most `width` away with the nearest
     value; ties go to the smaller item. Items are distinct; rows with a null find nothing and are found by nothing.
 
-    An item looks into 2 * width + 1 lists (keys, near). In each its place by value is a running count, and only the k + 1 rows on
-    either side of that place are joined, by their numbers in the list: no bucket's rows all meet each other.
+    An item looks into 2 * width + 1 lists (keys, near). In each the k + 1 rows up to its value on either side are carried along the order
+    of values as one array: a row per item and list, no bucket's rows all meet each other.
     """
     rows = df.select(*keys, F.col(near).cast("long").alias("__s"), F.col(value).alias("__v"), F.col(item).alias("__i")).dropna()
     lists = [*keys, "__s"]
-    number = lambda *order: F.row_number().over(Window.partitionBy(*lists).orderBy(*order))
-    items = rows.withColumns({"__up": number(F.col("__v"), F.col("__i")), "__down": number(F.desc("__v"), F.col("__i"))})
-    probes = rows.withColumn("__s", F.explode(F.sequence(F.col("__s") - width, F.col("__s") + width)))
-    both = probes.withColumn("__is", F.lit(0)).unionByName(rows.withColumn("__is", F.lit(1)))
-    # probes come before items of their value either way, so these count the items below and above it
-    before = lambda *order: F.sum("__is").over(Window.partitionBy(*lists).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    at = both.withColumns({"__less": before(F.col("__v"), F.col("__is")), "__more": before(F.desc("__v"), F.col("__is"))}).where("__is = 0").drop("__is")
-    look = lambda c: F.sequence(F.col(c) + 1, F.col(c) + k + 1)
-    found = None
-    for start, rank in (("__less", "__up"), ("__more", "__down")):
-        wanted = at.select(*lists, "__v", "__i", F.explode(look(start)).alias(rank))
-        side = items.select(*lists, F.col("__v").alias("__w"), F.col("__i").alias("__j"), F.col(rank).cast("long").alias(rank))
-        part = wanted.join(side, [*lists, rank]).where("__i <> __j").select("__i", "__j", F.abs(F.col("__v") - F.col("__w")).alias("__d"))
-        found = part if found is None else found.unionByName(part)
-    best = top_k(found.distinct(), ["__i"], k, F.col("__d"), F.col("__j"))
-    return best.select(F.col("__i").alias(item), F.col("__j").alias("other"), "rank")
+    up, down = F.col("__v"), F.desc("__v")
+    # the nearest on one side stand last: of equal values the smaller items
+    last = lambda order: F.collect_list(F.struct("__v", "__i")).over(Window.partitionBy(*lists).orderBy(order, F.desc("__i")).rowsBetween(-k, 0))
+    items = rows.select(*lists, "__v", F.lit(None).cast(df.schema[item].dataType).alias("__i"), F.lit(0).alias("__side"), last(up).alias("__low"), last(down).alias("__high"), F.col("__i").alias("__o"))
+    none = F.lit(None).cast(items.schema["__low"].dataType)
+    probes = rows.select(*keys, F.explode(F.sequence(F.col("__s") - width, F.col("__s") + width)).alias("__s"), "__v", "__i", F.lit(1).alias("__side"), none.alias("__low"), none.alias("__high"), F.col("__i").alias("__o"))
+    carried = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(*lists).orderBy(order, "__side", F.desc("__o")).rowsBetween(Window.unboundedPreceding, 0))
+    met = items.unionByName(probes).select("__side", "__i", "__v", carried("__low", up).alias("__low"), carried("__high", down).alias("__high")).where("__side = 1")
+    empty = F.array().cast(items.schema["__low"].dataType)
+    others = F.filter(F.concat(F.coalesce("__low", empty), F.coalesce("__high", empty)), lambda o: o["__i"] != F.col("__i"))
+    first = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
+    best = met.select("__i", first(F.transform(others, lambda o: F.struct(F.abs(F.col("__v") - o["__v"]).alias("d"), o["__i"].alias("j")))).alias("__best"))
+    best = best.groupBy("__i").agg(first(F.flatten(F.collect_list("__best"))).alias("__best"))  # 2 * width + 1 arrays of k at most
+    return best.select(F.col("__i").alias(item), F.posexplode("__best").alias("rank", "o")).select(item, F.col("o.j").alias("other"), (F.col("rank") + 1).alias("rank"))

@@ -119,3 +119,11 @@ def test_nearest_others_equal_all_pairs(spark):
         want = sorted((abs(v - w), j) for j, h, u, w in whole if j != k and h == g and abs(u - s) <= 2)[:3]
         assert [j for _, j in sorted(got.get(k, []))] == [j for _, j in want]
     assert got.keys() <= {r[0] for r in whole}
+
+
+def test_nearest_k_joins_no_numbers(spark):
+    """A list is carried along its values: a row per item and list, and no join of k + 1 rows for each."""
+    rows = spark.range(50).select("id", F.lit("a").alias("g"), F.lit(1).alias("s"), (F.col("id") % 7).cast("double").alias("v"))
+    got = lookup.nearest_k(rows, ["g"], "s", 1, "v", "id", 3)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.other for r in got.where("id = 0").orderBy("rank").collect()] == [7, 14, 21]
