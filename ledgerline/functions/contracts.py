@@ -77,35 +77,44 @@ def new_jeonse(contract: Column, deposit: Column, rent: Column) -> Column:
     return is_new(contract) & pure_jeonse(deposit, rent)
 
 
-def _whole(text: Column, least: int, most: int) -> Column:
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns, each computed once a row: the planner repeats what withColumns() names wherever a filter or a later column
+    uses it, up to methods that the JVM no longer compiles."""
+    own = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*own, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _double(name: str) -> Column:
+    return F.trim(F.col(name).cast("string")).try_cast("double")
+
+
+def _whole(x: Column, least: int, most: int) -> Column:
     """A whole number from least to most, else null."""
-    x = F.trim(text.cast("string")).try_cast("double")
     return F.when((x == F.floor(x)) & x.between(least, most), x.cast("int"))
 
 
-def _common(raw: DataFrame) -> DataFrame:
-    """raw with `apt`, `sqm`, `date` and checked `floor`, `built`, without rows that miss a name, an area or a date.
+def _common(raw: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """raw with `apt`, `sqm`, `date`, checked `floor` and `built`, and more, without rows that miss a name, an area or a date.
     Days are checked for their range only: the 31st of any month passes."""
-    sqm = F.trim(F.col("area").cast("string")).try_cast("double")
-    year, month, day = _whole(F.col("year"), 1900, 2999), _whole(F.col("month"), 1, 12), _whole(F.col("day"), 1, 31)
-    floor = F.trim(F.col("floor").cast("string")).try_cast("double")
-    out = raw.withColumns({
-        "apt": F.trim("name"), "dong": F.trim(F.coalesce("dong", F.lit(""))), "sqm": F.when(sqm > 0, half_up(sqm, 2)), "date": F.format_string("%d-%02d-%02d", year, month, day),
-        "floor": F.when(floor > 0, floor), "built": _whole(F.col("built"), 1901, 1 << 30), "__ok": year.isNotNull() & month.isNotNull() & day.isNotNull()})
-    return out.where(filled(F.col("apt")) & F.col("sqm").isNotNull() & F.col("__ok")).drop("__ok")
+    numbers = ("area", "year", "month", "day", "floor", "built")
+    read = _once(raw, {"apt": F.trim("name"), "dong": F.trim(F.coalesce("dong", F.lit("")))} | {f"__{c}": _double(c) for c in numbers} | more)
+    whole = _once(read, {
+        "sqm": F.when(F.col("__area") > 0, half_up(F.col("__area"), 2)), "floor": F.when(F.col("__floor") > 0, F.col("__floor")), "built": _whole(F.col("__built"), 1901, 1 << 30),
+        "__year": _whole(F.col("__year"), 1900, 2999), "__month": _whole(F.col("__month"), 1, 12), "__day": _whole(F.col("__day"), 1, 31)})
+    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    kept = whole.where(filled(F.col("apt")) & F.col("sqm").isNotNull() & F.col("__year").isNotNull() & F.col("__month").isNotNull() & F.col("__day").isNotNull())
+    return kept.withColumn("date", F.concat_ws("-", F.col("__year").cast("string"), two("__month"), two("__day"))).drop(*[f"__{c}" for c in numbers])
 
 
 def sale_rows(raw: DataFrame) -> DataFrame:
     """Sales with a positive amount: (…, apt, dong, sqm, date, floor, built, amount10k, direct)."""
-    amount = money(F.col("amount"), None)
-    return _common(raw).withColumns({"amount10k": amount, "direct": direct(F.col("dealing"))}).where(F.col("amount10k") > 0)
+    return _common(raw, {"amount10k": money(F.col("amount"), None), "direct": direct(F.col("dealing"))}).where(F.col("amount10k") > 0)
 
 
 def rent_rows(raw: DataFrame) -> DataFrame:
     """Leases with a positive deposit: (…, deposit10k, rent10k or null, renewal)."""
-    rent = money(F.col("rent"), 0)
-    out = _common(raw).withColumns({"deposit10k": money(F.col("deposit"), None), "rent10k": F.when(rent > 0, rent), "renewal": renewal(F.col("contract"))})
-    return out.where(F.col("deposit10k") > 0)
+    out = _common(raw, {"deposit10k": money(F.col("deposit"), None), "rent10k": money(F.col("rent"), 0), "renewal": renewal(F.col("contract"))})
+    return out.withColumn("rent10k", F.when(F.col("rent10k") > 0, F.col("rent10k"))).where(F.col("deposit10k") > 0)
 
 
 def market_rows(raw: DataFrame) -> DataFrame:

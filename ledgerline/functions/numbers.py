@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def money(c: Column, blank: int | None = 0) -> Column:
     """A whole amount with thousands commas; blank text gives `blank`, other text that is no number null."""
-    text = F.trim(F.regexp_replace(c.cast("string"), ",", ""))
+    text = F.trim(F.replace(c.cast("string"), F.lit(","), F.lit("")))
     return F.when(text == "", F.lit(blank).cast("long")).otherwise(text.try_cast("double").cast("long"))
 
 

@@ -55,3 +55,14 @@ def test_stats(spark):
     a, b = stats.newcombe(F.lit(8), F.lit(10), F.lit(2), F.lit(10))
     low, high = one(spark, a, b)
     assert 0 < low < 0.6 < high < 1
+
+
+def test_contract_rows_compute_each_text_once(spark):
+    """The planner repeats no raw text in filters and later columns: each stands once in the plan."""
+    from ledgerline.functions import contracts
+    from ledgerline.plans.contracts import raw_rows
+
+    raw = raw_rows(spark, "/root/testdata/sf0.001")
+    for rows, amount in ((contracts.sale_rows(raw), "amount10k"), (contracts.rent_rows(raw), "deposit10k"), (contracts.market_rows(raw), "amount10k")):
+        plan = rows.select("apt", "sqm", "date", "floor", "built", amount)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("n/a") == 1, plan
