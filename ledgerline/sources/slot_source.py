@@ -27,18 +27,21 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
 ITEMS = "kind string, district string, yearMonth string, state string, ord int, item map<string,string>, key string, arrived string, cancelled boolean"
 SLOTS = "kind string, district string, yearMonth string, state string, count bigint, totalCount bigint, cancelled bigint, observedAt string"
 #: Bytes of files that a task reads.
 PARTITION_BYTES = 16 << 20
+#: Rows of a batch that a reader makes at once.
+BATCH_ROWS = 4096
 _NAME = re.compile(r"([^/]+)/([^/]+)-(\d{6})\.json$")
 _KEYS = ("kind", "district", "yearMonth")
 _TESTS = {
@@ -54,17 +57,29 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+_encode = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
+_string = json.encoder.encode_basestring
+
+
 def line_of(item: dict) -> str:
     """A row as it stands in a file: keys in order, no spaces."""
-    return json.dumps(item, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    try:
+        return "{" + ",".join([_string(k) + ":" + ("null" if v is None else _string(v)) for k, v in sorted(item.items())]) + "}"
+    except TypeError:  # values or keys that are no text
+        return _encode(item)
+
+
+def _key(line: str) -> str:
+    return hashlib.sha1(line.encode()).hexdigest()[:12]
 
 
 def key_of(item: dict) -> str:
-    return hashlib.sha1(line_of(item).encode()).hexdigest()[:12]
+    return _key(line_of(item))
 
 
 def is_cancelled(item: dict) -> bool:
-    return any((item.get(c) or "").strip() for c in ("cdealType", "cdealDay"))
+    kind, day = item.get("cdealType"), item.get("cdealDay")
+    return bool(kind and kind.strip() or day and day.strip())
 
 
 def read_file(store_: fs.FileSystem, path: str) -> dict | None:
@@ -72,7 +87,10 @@ def read_file(store_: fs.FileSystem, path: str) -> dict | None:
     try:
         with store_.open_input_stream(path) as f:
             slot = json.loads(f.read().decode("utf-8"), parse_int=str, parse_float=str)
-        slot["items"] = [{k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in x.items()} for x in slot["items"]]
+        for x in slot["items"]:
+            for k, v in x.items():
+                if v.__class__ is not str and v is not None:
+                    x[k] = json.dumps(v)
         slot["arrivals"] = dict(slot.get("arrivals") or {})
         slot["count"], slot["totalCount"] = int(slot["count"]), int(slot["totalCount"])
         return slot
@@ -148,11 +166,24 @@ class SlotReader(DataSourceReader):
             elif slot is None:
                 rows = [own]
             else:
-                keys = [key_of(x) for x in slot["items"]]
-                rows = [own | {"ord": n, "item": list(x.items()), "key": k, "arrived": slot["arrivals"].get(k), "cancelled": is_cancelled(x)} for n, (x, k) in enumerate(zip(slot["items"], keys))]
+                for at in range(0, len(slot["items"]), BATCH_ROWS):
+                    yield _batch(own, slot, at, schema)
+                continue
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _batch(own: dict, slot: dict, at: int, schema: pa.Schema) -> pa.RecordBatch:
+    """BATCH_ROWS rows of a slot from row `at` on, column by column."""
+    items = slot["items"][at:at + BATCH_ROWS]
+    n, keys = len(items), list(map(key_of, items))
+    ends = np.cumsum([0, *map(len, items)], dtype=np.int32)
+    names, values = pa.array([k for x in items for k in x], pa.string()), pa.array([v for x in items for v in x.values()], pa.string())
+    columns = {c: pa.repeat(pa.scalar(own[c], pa.string()), n) for c in (*_KEYS, "state")} | {
+        "ord": pa.array(np.arange(at, at + n, dtype=np.int32)), "item": pa.MapArray.from_arrays(pa.array(ends), names, values), "key": pa.array(keys, pa.string()),
+        "arrived": pa.array(map(slot["arrivals"].get, keys), pa.string()), "cancelled": pa.array(map(is_cancelled, items), pa.bool_())}
+    return pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
     return pa.schema([(c, kinds[k]) for c, k in (x.split(" ") for x in ddl.split(", "))])
@@ -165,7 +196,28 @@ class Written(WriterCommitMessage):
     slots: list[tuple[str, str | None, int]]
 
 
-class SlotWriter(DataSourceWriter):
+def _dicts(maps: pa.MapArray) -> list[dict]:
+    """A column of maps as dicts; a null map is refused."""
+    if maps.null_count:
+        raise ValueError("no item")
+    ends, start = maps.offsets.to_pylist(), maps.offsets[0].as_py() if len(maps) else 0
+    pairs = list(zip(maps.keys.to_pylist(), maps.items.to_pylist()))
+    start = 0 if len(pairs) >= (ends[-1] if ends else 0) else start
+    return [dict(pairs[a - start:b - start]) for a, b in zip(ends, ends[1:])]
+
+
+def _rows(batches) -> Iterator[tuple[tuple, dict, int | None]]:
+    """(slot, item, total) of each row of batches; single rows do as well."""
+    for batch in batches:
+        if not isinstance(batch, pa.RecordBatch):
+            yield tuple(batch[c] for c in _KEYS), dict(batch["item"]), batch["totalCount"] if "totalCount" in batch else None
+            continue
+        keys = zip(*(batch.column(c).to_pylist() for c in _KEYS))
+        totals = batch.column("totalCount").to_pylist() if "totalCount" in batch.schema.names else [None] * batch.num_rows
+        yield from zip(keys, _dicts(batch.column("item")), totals)
+
+
+class SlotWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.seen = options["path"], options["observedat"] if "observedat" in options else options["observedAt"]
 
@@ -176,37 +228,36 @@ class SlotWriter(DataSourceWriter):
         def flush(slot: tuple, rows: list[dict], total: int | None) -> None:
             name = "{}/{}-{}.json".format(*slot)
             before = read_file(where, f"{root}/{name}")
-            items = sorted(rows, key=line_of)
+            items = sorted(map(line_of, rows))
             new = {"kind": slot[0], "district": slot[1], "yearMonth": slot[2], "ok": True, "resultCode": 0, "count": len(items), "totalCount": len(items) if total is None else total}
-            if before and state_of(before) != "failed" and [line_of(x) for x in before["items"]] == [line_of(x) for x in items] and before["totalCount"] == new["totalCount"]:
+            if before and state_of(before) != "failed" and [line_of(x) for x in before["items"]] == items and before["totalCount"] == new["totalCount"]:
                 done.append((name, None, 0))
                 return
             known = {key_of(x) for x in before["items"]} if before else None
             arrivals = {}
-            for k in map(key_of, items):
-                if known is not None:
-                    day = before["arrivals"].get(k) or (None if k in known else self.seen[:10])
-                    if day:
-                        arrivals[k] = day
+            for k in map(_key, items) if before else ():
+                day = before["arrivals"].get(k) or (None if k in known else self.seen[:10])
+                if day:
+                    arrivals[k] = day
             new |= {"observedAt": self.seen, "previousObservedAt": before and before.get("observedAt"), "arrivals": arrivals}
             path = f"{attempt}/{name}"
             where.create_dir(path.rpartition("/")[0], recursive=True)
             head = json.dumps(new, ensure_ascii=False, separators=(",", ":"))[:-1]
-            body = ",\n".join(line_of(x) for x in items)
+            body = ",\n".join(items)
             with where.open_output_stream(path) as f:
                 f.write(f'{head},"items":[\n{body}\n]}}\n'.encode())
             done.append((name, path, len(set(arrivals) - (known or set()))))
 
         slot, rows, total = None, [], None
-        for r in iterator:
-            here = r["kind"], r["district"], r["yearMonth"]
-            if None in here or not re.fullmatch(r"\d{6}", here[2]):
-                raise ValueError(f"no slot: {here}")
-            if here != slot and slot is not None:
-                flush(slot, rows, total)
-                rows = []
-            slot, total = here, r["totalCount"] if "totalCount" in r else None
-            rows.append(dict(r["item"]))
+        for here, item, own_total in _rows(iterator):
+            if here != slot:
+                if None in here or not re.fullmatch(r"\d{6}", here[2]):
+                    raise ValueError(f"no slot: {here}")
+                if slot is not None:
+                    flush(slot, rows, total)
+                    rows = []
+            slot, total = here, own_total
+            rows.append(item)
         if slot is not None:
             flush(slot, rows, total)
         return Written(done)

@@ -118,3 +118,26 @@ def test_plan_and_expiry(spark, root):
     assert {late["11111", m] for m in ("202402",)} <= {"frozen", "missing"}
     gone = [("sale", d, m) for (d, m), s in got.items() if s == "expired"]
     assert gone and slots.expire(root, gone) == len(gone) and slots.expire(root, gone) == 0
+
+
+def test_rows_are_encoded_once_and_read_in_batches(spark, tmp_path, monkeypatch):
+    """A writer makes each row's line once; a reader gives a slot in bounded batches with the rows' keys."""
+    import pyarrow as pa
+
+    items = [{"key": f"{k} \"q\" \\ é\n\x01", "none": None, "b": "x"} for k in range(700)]
+    assert [slots.line_of(x) for x in items] == [json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in items]
+    assert slots.line_of({"b": 1, "a": [None]}) == '{"a":[null],"b":1}'
+    made, own = [], slots.line_of
+    monkeypatch.setattr(slots, "line_of", lambda x: made.append(1) or own(x))
+    kinds = pa.schema([("kind", pa.string()), ("district", pa.string()), ("yearMonth", pa.string()), ("item", pa.map_(pa.string(), pa.string()))])
+    batch = pa.RecordBatch.from_pylist([{"kind": "a", "district": "d", "yearMonth": "200001", "item": list(x.items())} for x in items], schema=kinds)
+    writer = slots.SlotWriter({"path": str(tmp_path), "observedAt": "2001-01-01T00:00:00"})
+    writer.commit([writer.write(iter([batch.slice(0, 300), batch.slice(300)]))])
+    assert len(made) == 700
+    monkeypatch.setattr(slots, "BATCH_ROWS", 256)
+    reader = slots.SlotReader({"path": str(tmp_path)})
+    out = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [b.num_rows for b in out] == [256, 256, 188]
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["ord"] for r in rows] == list(range(700)) and sorted(own(dict(r["item"])) for r in rows) == sorted(map(own, items))
+    assert all(r["key"] == slots.key_of(dict(r["item"])) and r["state"] == "ok" and not r["cancelled"] for r in rows)
