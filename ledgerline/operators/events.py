@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
+#: Rows of a table, about, that a task of standing_among_earlier() sorts.
+TASK_ROWS = 100_000
+
 
 def with_prior(df: DataFrame, cell: list[str], day: str, value: str) -> DataFrame:
     """df with prior_n, prior_first, prior_max: count, first day and largest value strictly before the day."""
@@ -58,17 +61,19 @@ def standing_among_earlier(df: DataFrame, cell: list[str], day: str, value: str)
     of the cell need. Rows whose value is null count nowhere and have nulls; equal rows are rows each.
     """
     rows = checkpointed(df.withColumn("__id", F.monotonically_increasing_id()))
-    known = rows.where(F.col(value).isNotNull())
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    # dealt by the cell into a number of parts that adaptive execution does not lower: every sort below is within them
+    known = rows.where(F.col(value).isNotNull()).select("__id", *cell, day, value).repartition(parts, *cell)
     ranked = known.withColumn("__r", F.dense_rank().over(Window.partitionBy(*cell).orderBy(value)) - 1)
     most = F.max("__r").over(Window.partitionBy(*cell))
     earlier = lambda *more: Window.partitionBy(*cell, *more).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
     own = ranked.withColumns({"__n": F.count("*").over(earlier()), "__e": F.count("*").over(earlier("__r")), "__most": most})
     digits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("__most"), F.lit(1)).cast("double"))).cast("int"))
-    each = own.select("__id", *cell, day, "__r", F.explode(digits).alias("__k"))
+    each = own.select("__id", *cell, day, "__r", "__n", "__e", F.explode(digits).alias("__k"))
     bit = F.expr("shiftright(__r, __k) & 1")
     each = each.withColumns({"__bit": bit, "__above": F.expr("shiftright(__r, __k + 1)")})
     below = F.sum(1 - F.col("__bit")).over(earlier("__k", "__above"))
-    lower = each.withColumn("__below", below).where("__bit = 1").groupBy("__id").agg(F.sum("__below").alias("__lower"))
-    counts = own.select("__id", "__n", "__e").join(lower, "__id", "left")
+    # every row has a digit at least
+    counts = each.withColumn("__below", F.when(F.col("__bit") == 1, below)).groupBy("__id").agg(F.max("__n").alias("__n"), F.max("__e").alias("__e"), F.sum("__below").alias("__lower"))
     out = rows.join(counts, "__id", "left")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__n").alias("n"), F.when(F.col("__n").isNotNull(), F.coalesce("__lower", F.lit(0)).cast("long")).alias("lower"), F.col("__e").alias("equal"))
