@@ -77,7 +77,7 @@ def new_jeonse(contract: Column, deposit: Column, rent: Column) -> Column:
     return is_new(contract) & pure_jeonse(deposit, rent)
 
 
-def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with columns, each computed once a row: the planner repeats what withColumns() names wherever a filter or a later column
     uses it, up to methods that the JVM no longer compiles."""
     own = [F.col(f"`{c}`") for c in df.columns if c not in columns]
@@ -97,8 +97,8 @@ def _common(raw: DataFrame, more: dict[str, Column]) -> DataFrame:
     """raw with `apt`, `sqm`, `date`, checked `floor` and `built`, and more, without rows that miss a name, an area or a date.
     Days are checked for their range only: the 31st of any month passes."""
     numbers = ("area", "year", "month", "day", "floor", "built")
-    read = _once(raw, {"apt": F.trim("name"), "dong": F.trim(F.coalesce("dong", F.lit("")))} | {f"__{c}": _double(c) for c in numbers} | more)
-    whole = _once(read, {
+    read = once(raw, {"apt": F.trim("name"), "dong": F.trim(F.coalesce("dong", F.lit("")))} | {f"__{c}": _double(c) for c in numbers} | more)
+    whole = once(read, {
         "sqm": F.when(F.col("__area") > 0, half_up(F.col("__area"), 2)), "floor": F.when(F.col("__floor") > 0, F.col("__floor")), "built": _whole(F.col("__built"), 1901, 1 << 30),
         "__year": _whole(F.col("__year"), 1900, 2999), "__month": _whole(F.col("__month"), 1, 12), "__day": _whole(F.col("__day"), 1, 31)})
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")

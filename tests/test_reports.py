@@ -77,3 +77,12 @@ def test_nested_cells_in_a_band(spark):
     df = spark.createDataFrame(rows, "g string, m map<string,map<int,struct<n:int,middle:double>>>")
     got = reports.in_band(df, "g", "m", ["name", "size"], 4.0, 7.0).collect()
     assert sorted(map(tuple, got), key=repr) == [("g", "a", 1, 3, 5.0, 2), ("g", "b", 1, 3, 4.0, 1), (None, "z", 1, 1, 4.0, 1)]
+
+
+def test_terms_are_parsed_once_a_text(spark):
+    """lease_expiry counts leases by the text of their term first: no row's term is parsed, by filters neither."""
+    from ledgerline.plans.products import lease_expiry
+
+    lines = lease_expiry(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    counted = max(k for k, line in enumerate(lines) if "Aggregate" in line)  # rows flow upward, so this is the first count
+    assert any("(~.*)" in line for line in lines[:counted + 1]) and not any("(~.*)" in line for line in lines[counted + 1:])
