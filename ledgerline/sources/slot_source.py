slot_window_scan: lines of slots are made by Spark's functions before the shuffle

Symptom: slot_window_scan took 1045 CPU seconds a GB over sf0.1's 600,000 lines (JVM 253 to 329, Python 677 to 681, GC 9 to 32), nearly all of it in writing the slots; slot_scan (2145; JVM 496 to 589, Python 1313 to 1520) and slot_fetch_plan write the same slots.
Evidence: a profile of the writer alone had 9.2 of its 10 Python seconds in turning Arrow maps into Python dicts and key columns into lists, and 4 under its profiler in encoding the dicts as lines one by one; the shuffle carried each row's map with the names of its fields.
Fix: write_slots() makes a row's line with to_json over the sorted map, so that the shuffle, the sort and the writer's batches hold one text a row; the writer finds where a slot ends with Arrow, sorts and joins the texts, and encodes again only rows that Spark writes otherwise (control signs, a key twice in a map). Maps of other types and direct writes go as before.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 497 -> 272 s, shuffle 1.34 -> 1.14 GB, spill 0.00 -> 0.00 GB, read 0.58 -> 0.58 GB, longest task 19 -> 16 s, most memory of a task 436 -> 336 MB; at 6 GB of input CPU 2408 -> 1230 s, shuffle 8.13 -> 7.07 GB, spill 0.00 -> 0.00 GB, read 4.19 -> 4.19 GB, longest task 17 -> 29 s, most memory of a task 436 -> 336 MB.

@@ -8,7 +8,7 @@ Files are named {root}/{kind}/{district}-{yyyymm}.json. Reading lists names on t
 answered from the names, so other files are not opened. Files are planned newest month first, then by district and kind, into
 partitions of about `partitionBytes` each.
 
-Writing needs a slot's rows in one task (write_slots() deals them so). A task writes files under names of its attempt and says so in
+Writing needs a slot's rows in one task (write_slots() deals them so, as lines that Spark's own functions make). A task writes files under names of its attempt and says so in
 its commit message; only the driver's commit renames the files of committed attempts, so a lost or repeated task
 leaves no slot twice. A slot whose rows, totals and state equal the stored ones keeps its file; in one that
 changed, rows keep the day they were first seen and new rows get the day of observedAt.
@@ -26,9 +26,11 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,14 @@ def line_of(item: dict) -> str:
         return _encode(item)
 
 
+def line_column(item: Column) -> Column:
+    """line_of() of a map<string,string>. Left to _lines(): the letters of \\u00.., which Spark writes large, and maps that hold a key twice,
+    which start with a space here."""
+    line = F.to_json(F.map_from_entries(F.sort_array(F.map_entries(item))), {"ignoreNullFields": "false"})
+    once = F.size(F.array_distinct(F.map_keys(item))) == F.size(item)
+    return F.when(once, line).otherwise(F.concat(F.lit(" "), F.to_json(item, {"ignoreNullFields": "false"})))
+
+
 def _key(line: str) -> str:
     return hashlib.sha1(line.encode()).hexdigest()[:12]
 
@@ -206,15 +216,31 @@ def _dicts(maps: pa.MapArray) -> list[dict]:
     return [dict(pairs[a - start:b - start]) for a, b in zip(ends, ends[1:])]
 
 
-def _rows(batches) -> Iterator[tuple[tuple, dict, int | None]]:
-    """(slot, item, total) of each row of batches; single rows do as well."""
+def _lines(batch: pa.RecordBatch) -> list[str]:
+    """The lines of a batch's rows: of its items, or as line_column() made them."""
+    if "item" in batch.schema.names:
+        return list(map(line_of, _dicts(batch.column("item"))))
+    made = batch.column("line")
+    if made.null_count:
+        raise ValueError("no item")
+    lines = made.to_numpy(zero_copy_only=False).tolist()
+    for k in np.flatnonzero(pc.or_(pc.match_substring(made, "\\u00"), pc.starts_with(made, " "))):
+        lines[k] = line_of(json.loads(lines[k]))
+    return lines
+
+
+def _stretches(batches) -> Iterator[tuple[tuple, list[str], int | None]]:
+    """(slot, lines, total) of each stretch of a batch's rows that are of one slot; single rows do as well."""
     for batch in batches:
         if not isinstance(batch, pa.RecordBatch):
-            yield tuple(batch[c] for c in _KEYS), dict(batch["item"]), batch["totalCount"] if "totalCount" in batch else None
+            yield tuple(batch[c] for c in _KEYS), [line_of(dict(batch["item"]))], batch["totalCount"] if "totalCount" in batch else None
             continue
-        keys = zip(*(batch.column(c).to_pylist() for c in _KEYS))
-        totals = batch.column("totalCount").to_pylist() if "totalCount" in batch.schema.names else [None] * batch.num_rows
-        yield from zip(keys, _dicts(batch.column("item")), totals)
+        lines, keys = _lines(batch), [batch.column(c) for c in _KEYS]
+        totals = batch.column("totalCount") if "totalCount" in batch.schema.names else None
+        other = [pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False) for c in keys]
+        starts = np.flatnonzero(np.any(other, axis=0)) + 1
+        for a, b in pairwise([0, *starts.tolist(), len(lines)] if lines else []):
+            yield tuple(c[a].as_py() for c in keys), lines[a:b], None if totals is None else totals[b - 1].as_py()
 
 
 class SlotWriter(DataSourceArrowWriter):
@@ -225,10 +251,10 @@ class SlotWriter(DataSourceArrowWriter):
         where, root = store(self.path)
         attempt, done = f"{root}/_attempts/{uuid.uuid4().hex}", []
 
-        def flush(slot: tuple, rows: list[dict], total: int | None) -> None:
+        def flush(slot: tuple, items: list[str], total: int | None) -> None:
             name = "{}/{}-{}.json".format(*slot)
             before = read_file(where, f"{root}/{name}")
-            items = sorted(map(line_of, rows))
+            items.sort()
             new = {"kind": slot[0], "district": slot[1], "yearMonth": slot[2], "ok": True, "resultCode": 0, "count": len(items), "totalCount": len(items) if total is None else total}
             if before and state_of(before) != "failed" and [line_of(x) for x in before["items"]] == items and before["totalCount"] == new["totalCount"]:
                 done.append((name, None, 0))
@@ -248,18 +274,18 @@ class SlotWriter(DataSourceArrowWriter):
                 f.write(f'{head},"items":[\n{body}\n]}}\n'.encode())
             done.append((name, path, len(set(arrivals) - (known or set()))))
 
-        slot, rows, total = None, [], None
-        for here, item, own_total in _rows(iterator):
+        slot, items, total = None, [], None
+        for here, lines, own_total in _stretches(iterator):
             if here != slot:
                 if None in here or not re.fullmatch(r"\d{6}", here[2]):
                     raise ValueError(f"no slot: {here}")
                 if slot is not None:
-                    flush(slot, rows, total)
-                    rows = []
+                    flush(slot, items, total)
+                    items = []
             slot, total = here, own_total
-            rows.append(item)
+            items += lines
         if slot is not None:
-            flush(slot, rows, total)
+            flush(slot, items, total)
         return Written(done)
 
     def commit(self, messages) -> None:
@@ -331,6 +357,8 @@ def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
 def write_slots(rows: DataFrame, root: str, observed_at: dt.datetime | str) -> None:
     """Write rows (kind, district, yearMonth, item map<string,string> and, if given, totalCount) as slots under root."""
     register(rows.sparkSession)
+    if rows.schema["item"].dataType.simpleString() == "map<string,string>":
+        rows = rows.select(*_KEYS, line_column(F.col("item")).alias("line"), *[c for c in rows.columns if c == "totalCount"])
     dealt = rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     dealt.write.format("slots").mode("append").option("path", root).option("observedAt", str(observed_at)).save()
 

@@ -141,3 +141,36 @@ def test_rows_are_encoded_once_and_read_in_batches(spark, tmp_path, monkeypatch)
     rows = pa.Table.from_batches(out).to_pylist()
     assert [r["ord"] for r in rows] == list(range(700)) and sorted(own(dict(r["item"])) for r in rows) == sorted(map(own, items))
     assert all(r["key"] == slots.key_of(dict(r["item"])) and r["state"] == "ok" and not r["cancelled"] for r in rows)
+
+
+def test_lines_are_made_by_spark(spark, tmp_path, monkeypatch):
+    """write_slots() hands the writer lines instead of maps; they are those of line_of(), whatever the texts."""
+    import pyarrow as pa
+
+    signs = "".join(map(chr, (*range(1, 48), 92, 127, 160, 233, 0x2028, 0xFFFF, 0x1F600)))
+    items = [{"b": signs, "a": None, "\x1fc\"": ""}, {}, {"z": "\\u001f", "Z": "/", "é": "\\"}, {"k": " {", "a": "\x0b"}, {"a": "1", "B": "2"}, {"a": "1", "B": "2"}]
+    rows = spark.createDataFrame([("a", "d", "200001", x) for x in items], ROWS)
+    made = [r.line for r in rows.select(slots.line_column(F.col("item")).alias("line")).collect()]
+    assert made[1:3] + made[4:] == [slots.line_of(items[k]) for k in (1, 2, 4, 5)]
+    used, own = [], slots.line_column
+    monkeypatch.setattr(slots, "line_column", lambda item: used.append(item) or own(item))
+    slots.write_slots(rows, str(tmp_path), "2001-01-01")
+    assert len(used) == 1
+    with open(f"{tmp_path}/a/d-200001.json") as f:
+        assert f.read().partition('"items":[\n')[2] == ",\n".join(sorted(map(slots.line_of, items))) + "\n]}\n"
+    monkeypatch.setattr(slots, "line_of", None)  # the writer takes such lines as they are
+    assert slots._lines(pa.record_batch({"line": ['{"a":"b"}', '{"a":null}']})) == ['{"a":"b"}', '{"a":null}']
+
+
+def test_odd_maps_and_totals(spark, tmp_path):
+    """A null map is refused; maps of numbers are written as before; a key twice in a map stands once, with its last value; totals count."""
+    with pytest.raises(Exception, match="no item"):
+        slots.write_slots(spark.createDataFrame([("a", "d", "200001", {"a": "b"}), ("a", "d", "200001", None)], ROWS), f"{tmp_path}/null", "2001-01-01")
+    slots.write_slots(spark.createDataFrame([("a", "d", "200001", {"b": 1, "a": None})], ROWS.replace("map<string,string>", "map<string,int>")), f"{tmp_path}/int", "2001-01-01")
+    with open(f"{tmp_path}/int/a/d-200001.json") as f:
+        assert '"items":[\n{"a":null,"b":1}\n]' in f.read()
+    twice = spark.sql("SELECT 'a' kind, 'd' district, '200001' yearMonth, from_json('{\"b\":\"2\",\"a\":\"1\",\"b\":\"1\"}', 'map<string,string>') item, 3L totalCount")
+    assert twice.selectExpr("size(item)").first()[0] == 3
+    slots.write_slots(twice, f"{tmp_path}/twice", "2001-01-01")
+    got = slots.read_items(spark, f"{tmp_path}/twice").collect()
+    assert [(r.item, r.state, r.key) for r in got] == [({"a": "1", "b": "1"}, "partial", slots.key_of({"a": "1", "b": "1"}))]
