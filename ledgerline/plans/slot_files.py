slot_scan: a reader of slots makes the columns asked for, in batches that go on over slots

Symptom: slot_scan took 2145 CPU seconds a GB over sf0.1's 600,000 lines (JVM 496 to 589, Python 1313 to 1520, GC 15 to 22), and 1044 (JVM 353 to 365, Python 663 to 669, GC 9 to 11) with lines made by Spark, of which reading the items took the most.
Evidence: a profile of the reader alone had half of its Python seconds in encoding each item again and hashing it for `key` and `arrived`, which no column of slot_scan or slot_window_scan needs, as the source made all columns for everyone; 4,150 slots of some 145 rows were as many batches.
Fix: a reader makes the columns of the schema it is given, read_items() takes the columns a caller needs, and rows of slots are put together into batches of 4,096; contents are held one file at a time as before.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 665 -> 394 s, shuffle 1.34 -> 1.14 GB, spill 0.00 -> 0.00 GB, read 0.58 -> 0.58 GB, longest task 18 -> 16 s, most memory of a task 436 -> 336 MB; at 6 GB of input CPU 3387 -> 1868 s, shuffle 8.13 -> 7.07 GB, spill 0.00 -> 0.00 GB, read 4.19 -> 4.19 GB, longest task 17 -> 24 s, most memory of a task 436 -> 336 MB.

@@ -35,7 +35,7 @@ def _stored(spark: SparkSession, d: str) -> str:
 def slot_scan(spark: SparkSession, d: str) -> DataFrame:
     """All slots as written and read back: their state, rows, cancelled rows and amounts."""
     root = _stored(spark, d)
-    items = slot_source.read_items(spark, root).groupBy("kind", "district", "yearMonth").agg(F.round(F.sum(F.col("item")["amount"].cast("double")), 2).alias("amount"))
+    items = slot_source.read_items(spark, root, ("kind", "district", "yearMonth", "item")).groupBy("kind", "district", "yearMonth").agg(F.round(F.sum(F.col("item")["amount"].cast("double")), 2).alias("amount"))
     slots = slot_source.read_catalogue(spark, root).select("kind", "district", "yearMonth", "state", F.col("count").alias("n"), "cancelled")
     return slots.join(items, ["kind", "district", "yearMonth"])
 
@@ -43,7 +43,7 @@ def slot_scan(spark: SparkSession, d: str) -> DataFrame:
 @query(_LINES + """SELECT district, "yearMonth", count(*)::BIGINT AS n, round(sum(amount), 2) AS amount FROM l WHERE kind = 'O' AND "yearMonth" >= '199907' AND "yearMonth" < '200107' AND NOT gone GROUP BY 1, 2""")
 def slot_window_scan(spark: SparkSession, d: str) -> DataFrame:
     """Live rows of a kind in a window of 24 months; only files of that kind and window are opened."""
-    items = slot_source.read_items(spark, _stored(spark, d)).where("kind = 'O' AND yearMonth >= '199907' AND yearMonth < '200107' AND NOT cancelled")
+    items = slot_source.read_items(spark, _stored(spark, d), ("kind", "district", "yearMonth", "item", "cancelled")).where("kind = 'O' AND yearMonth >= '199907' AND yearMonth < '200107' AND NOT cancelled")
     return items.groupBy("district", "yearMonth").agg(F.count("*").alias("n"), F.round(F.sum(F.col("item")["amount"].cast("double")), 2).alias("amount"))
 
 

@@ -8,9 +8,12 @@ Files are named {root}/{kind}/{district}-{yyyymm}.json. Reading lists names on t
 answered from the names, so other files are not opened. Files are planned newest month first, then by district and kind, into
 partitions of about `partitionBytes` each.
 
-Writing needs a slot's rows in one task (write_slots() deals them so, as lines that Spark's own functions make). A task writes files under names of its attempt and says so in
-its commit message; only the driver's commit renames the files of committed attempts, so a lost or repeated task
-leaves no slot twice. A slot whose rows, totals and state equal the stored ones keeps its file; in one that
+A reader makes the columns of the schema that it is given: read_items() takes those that a caller needs, and a row's key, which takes the
+longest, is made for `key` and `arrived` only. A batch holds the rows of as many slots as fit in.
+
+Writing needs a slot's rows in one task (write_slots() deals them so, as lines that Spark's own functions make). A task writes files
+under names of its attempt and says so in its commit message; only the driver's commit renames the files of committed attempts, so a
+lost or repeated task leaves no slot twice. A slot whose rows, totals and state equal the stored ones keeps its file; in one that
 changed, rows keep the day they were first seen and new rows get the day of observedAt.
 
 Cases: an unreadable file is a row with state `broken`; a slot that says it failed is `failed`, one with fewer rows than its total
@@ -26,7 +29,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -126,8 +129,9 @@ class SlotFiles(InputPartition):
 
 
 class SlotReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, columns: list[str] | None = None):
         self.path, self.what = options["path"], options.get("what", "items")
+        self.schema = _arrow(ITEMS if self.what == "items" else SLOTS, columns)
         self.bytes = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
         self.filters: list[Filter] = []
 
@@ -165,38 +169,64 @@ class SlotReader(DataSourceReader):
         return out or [SlotFiles([])]
 
     def read(self, partition: SlotFiles) -> Iterator[pa.RecordBatch]:
+        return (self._items if self.what == "items" else self._slots)(partition)
+
+    def _opened(self, partition: SlotFiles) -> Iterator[tuple[dict, dict | None]]:
+        """Each file's own columns and content, of which one is held at a time."""
         where, _ = store(self.path)
-        schema = _arrow(ITEMS if self.what == "items" else SLOTS)
         for kind, district, month, path in partition.files:
             slot = read_file(where, path)
-            own = {"kind": kind, "district": district, "yearMonth": month, "state": state_of(slot)}
-            if self.what != "items":
-                more = {} if slot is None else {"count": slot["count"], "totalCount": slot["totalCount"], "cancelled": sum(map(is_cancelled, slot["items"])), "observedAt": slot.get("observedAt")}
-                rows = [own | more]
-            elif slot is None:
-                rows = [own]
-            else:
-                for at in range(0, len(slot["items"]), BATCH_ROWS):
-                    yield _batch(own, slot, at, schema)
-                continue
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
-def _batch(own: dict, slot: dict, at: int, schema: pa.Schema) -> pa.RecordBatch:
-    """BATCH_ROWS rows of a slot from row `at` on, column by column."""
-    items = slot["items"][at:at + BATCH_ROWS]
-    n, keys = len(items), list(map(key_of, items))
-    ends = np.cumsum([0, *map(len, items)], dtype=np.int32)
-    names, values = pa.array([k for x in items for k in x], pa.string()), pa.array([v for x in items for v in x.values()], pa.string())
-    columns = {c: pa.repeat(pa.scalar(own[c], pa.string()), n) for c in (*_KEYS, "state")} | {
-        "ord": pa.array(np.arange(at, at + n, dtype=np.int32)), "item": pa.MapArray.from_arrays(pa.array(ends), names, values), "key": pa.array(keys, pa.string()),
-        "arrived": pa.array(map(slot["arrivals"].get, keys), pa.string()), "cancelled": pa.array(map(is_cancelled, items), pa.bool_())}
-    return pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
-
-
-def _arrow(ddl: str) -> pa.Schema:
+            yield {"kind": kind, "district": district, "yearMonth": month, "state": state_of(slot)}, slot
+            del slot
+
+    def _slots(self, partition: SlotFiles) -> Iterator[pa.RecordBatch]:
+        for own, slot in self._opened(partition):
+            more = {} if slot is None else {"count": slot["count"], "totalCount": slot["totalCount"], "cancelled": sum(map(is_cancelled, slot["items"])), "observedAt": slot.get("observedAt")}
+            yield pa.RecordBatch.from_pylist([own | more], schema=self.schema)
+
+    def _items(self, partition: SlotFiles) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for own, slot in self._opened(partition):
+            items, arrivals, at = ([None], {}, 0) if slot is None else (slot["items"], slot["arrivals"], 0)
+            del slot
+            while at < len(items):
+                held.append((own, arrivals, at, items[at:at + BATCH_ROWS - n]))
+                n, at = n + len(held[-1][3]), at + len(held[-1][3])
+                if n == BATCH_ROWS:
+                    yield _batch(held, self.schema)
+                    held, n = [], 0
+            del items
+        if held:
+            yield _batch(held, self.schema)
+
+
+def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """The rows of held, stretches (own columns, arrivals, place of the first, items) of slots, column by column; the item of a broken slot
+    is None."""
+    items = [x for *_, own in held for x in own]
+    none = np.array([x is None for x in items])
+    of = pa.array(np.repeat(np.arange(len(held)), [len(own) for *_, own in held]))
+    columns = {c: pa.array([own[c] for own, *_ in held], pa.string()).take(of) for c in (*_KEYS, "state") if c in schema.names}
+    if "ord" in schema.names:
+        columns["ord"] = pa.array(np.concatenate([np.arange(at, at + len(own), dtype=np.int32) for *_, at, own in held]), mask=none)
+    if "item" in schema.names:
+        full = [x or {} for x in items]
+        ends = pa.array(np.cumsum([0, *map(len, full)], dtype=np.int32), mask=np.append(none, False))
+        names, values = chain.from_iterable(full), chain.from_iterable(map(dict.values, full))
+        columns["item"] = pa.MapArray.from_arrays(ends, pa.array([*names], pa.string()), pa.array([*values], pa.string()))
+    if "cancelled" in schema.names:
+        columns["cancelled"] = pa.array([x if x is None else is_cancelled(x) for x in items], pa.bool_())
+    if "key" in schema.names or "arrived" in schema.names:
+        keys = [x if x is None else key_of(x) for x in items]
+        columns["key"] = pa.array(keys, pa.string())
+        columns["arrived"] = pa.array([held[i][1].get(k) for i, k in zip(of.to_pylist(), keys)], pa.string())
+    return pa.RecordBatch.from_arrays([columns[c] for c in schema.names], schema=schema)
+
+
+def _arrow(ddl: str, columns: list[str] | None = None) -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
-    return pa.schema([(c, kinds[k]) for c, k in (x.split(" ") for x in ddl.split(", "))])
+    known = {c: kinds[k] for c, k in (x.split(" ") for x in ddl.split(", "))}
+    return pa.schema([(c, known[c]) for c in columns or known])
 
 
 @dataclass
@@ -328,7 +358,7 @@ class SlotSource(DataSource):
         return SLOTS if self.options.get("what") == "slots" else ITEMS
 
     def reader(self, schema) -> SlotReader:
-        return SlotReader(dict(self.options))
+        return SlotReader(dict(self.options), schema.fieldNames())
 
     def writer(self, schema, overwrite: bool) -> SlotWriter:
         if overwrite:
@@ -342,10 +372,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SlotSource)
 
 
-def read_items(spark: SparkSession, root: str) -> DataFrame:
-    """A row per item of the slots under root."""
+def _read(spark: SparkSession, root: str, what: str, ddl: str, columns: tuple[str, ...]) -> DataFrame:
     register(spark)
-    return spark.read.format("slots").option("path", root).load()
+    own = ", ".join(x for x in ddl.split(", ") if not columns or x.split(" ")[0] in columns)
+    return spark.read.format("slots").schema(own).option("path", root).option("what", what).load()
+
+
+def read_items(spark: SparkSession, root: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A row per item of the slots under root, with all columns of ITEMS or these."""
+    return _read(spark, root, "items", ITEMS, columns)
 
 
 def read_catalogue(spark: SparkSession, root: str) -> DataFrame:

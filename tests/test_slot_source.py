@@ -174,3 +174,27 @@ def test_odd_maps_and_totals(spark, tmp_path):
     slots.write_slots(twice, f"{tmp_path}/twice", "2001-01-01")
     got = slots.read_items(spark, f"{tmp_path}/twice").collect()
     assert [(r.item, r.state, r.key) for r in got] == [({"a": "1", "b": "1"}, "partial", slots.key_of({"a": "1", "b": "1"}))]
+
+
+def test_reader_makes_the_columns_asked_for(spark, root, monkeypatch):
+    """Batches go on over slots, broken ones among them; other columns are not made, and those made are the same."""
+    with open(f"{root}/sale/11111-202402.json", "w") as f:
+        f.write("{no json")
+    slots.write_slots(rows_of(spark, changed={3, 9}), root, "2024-06-01T00:00:00")
+    with open(f"{root}/rent/11111-202401.json", "w") as f:
+        f.write("{no json")
+    reader = slots.SlotReader({"path": root})
+    whole = [r for p in reader.partitions() for f in p.files for b in reader.read(slots.SlotFiles([f])) for r in b.to_pylist()]
+    assert [r for r in whole if r["state"] == "broken"] == [{c: {"kind": "rent", "district": "11111", "yearMonth": "202401", "state": "broken"}.get(c) for c in whole[0]}]
+    assert {r["arrived"] for r in whole} == {None, "2024-06-01"} and {r["cancelled"] for r in whole} == {None, True, False}
+    monkeypatch.setattr(slots, "BATCH_ROWS", 64)
+    for columns in [*([c] for c in whole[0]), list(whole[0])[::-1]]:
+        reader = slots.SlotReader({"path": root}, columns)
+        with monkeypatch.context() as m:
+            if not {"key", "arrived"} & {*columns}:
+                m.setattr(slots, "key_of", None)
+            out = [b for p in reader.partitions() for b in reader.read(p)]
+        assert [b.num_rows for b in out] == [64] * (len(whole) // 64) + [len(whole) % 64]
+        assert [r for b in out for r in b.to_pylist()] == [{c: r[c] for c in columns} for r in whole]
+    assert slots.read_items(spark, root, ("ord", "item")).columns == ["ord", "item"] and slots.read_items(spark, root).columns == list(whole[0])
+    assert slots.read_items(spark, root, ("yearMonth", "item")).where("yearMonth = '202403'").count() == sum(r["yearMonth"] == "202403" for r in whole)
