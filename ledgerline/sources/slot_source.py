@@ -8,8 +8,8 @@ Files are named {root}/{kind}/{district}-{yyyymm}.json. Reading lists names on t
 answered from the names, so other files are not opened. Files are planned newest month first, then by district and kind, into
 partitions of about `partitionBytes` each.
 
-A reader makes the columns of the schema that it is given: read_items() takes those that a caller needs, and a row's key, which takes the
-longest, is made for `key` and `arrived` only. A batch holds the rows of as many slots as fit in.
+A reader makes the columns of the schema that it is given: read_items() and read_catalogue() take those that a caller needs, and a row's
+key, which takes the longest, is made for `key` and `arrived` only. A batch holds the rows of as many slots as fit in.
 
 Writing needs a slot's rows in one task (write_slots() deals them so, as lines that Spark's own functions make). A task writes files
 under names of its attempt and says so in its commit message; only the driver's commit renames the files of committed attempts, so a
@@ -64,6 +64,7 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
 
 _encode = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
 _string = json.encoder.encode_basestring
+_decode = json.JSONDecoder(parse_int=str, parse_float=str).decode
 
 
 def line_of(item: dict) -> str:
@@ -99,11 +100,10 @@ def read_file(store_: fs.FileSystem, path: str) -> dict | None:
     """A slot's content, values as text; None if there is no file or it is no slot."""
     try:
         with store_.open_input_stream(path) as f:
-            slot = json.loads(f.read().decode("utf-8"), parse_int=str, parse_float=str)
-        for x in slot["items"]:
-            for k, v in x.items():
-                if v.__class__ is not str and v is not None:
-                    x[k] = json.dumps(v)
+            slot = _decode(f.read().decode("utf-8"))
+        if not {str, type(None)}.issuperset(map(type, chain.from_iterable(map(dict.values, slot["items"])))):
+            for x in slot["items"]:
+                x |= {k: json.dumps(v) for k, v in x.items() if not isinstance(v, str | None)}
         slot["arrivals"] = dict(slot.get("arrivals") or {})
         slot["count"], slot["totalCount"] = int(slot["count"]), int(slot["totalCount"])
         return slot
@@ -180,9 +180,19 @@ class SlotReader(DataSourceReader):
             del slot
 
     def _slots(self, partition: SlotFiles) -> Iterator[pa.RecordBatch]:
-        for own, slot in self._opened(partition):
-            more = {} if slot is None else {"count": slot["count"], "totalCount": slot["totalCount"], "cancelled": sum(map(is_cancelled, slot["items"])), "observedAt": slot.get("observedAt")}
-            yield pa.RecordBatch.from_pylist([own | more], schema=self.schema)
+        rows = []
+        for row, slot in self._opened(partition):
+            if slot is not None:
+                row |= {"count": slot["count"], "totalCount": slot["totalCount"], "observedAt": slot.get("observedAt")}
+                if "cancelled" in self.schema.names:
+                    row["cancelled"] = sum(map(is_cancelled, slot["items"]))
+            del slot
+            rows.append(row)
+            if len(rows) == BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=self.schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=self.schema)
 
     def _items(self, partition: SlotFiles) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -383,10 +393,9 @@ def read_items(spark: SparkSession, root: str, columns: tuple[str, ...] = ()) ->
     return _read(spark, root, "items", ITEMS, columns)
 
 
-def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """A row per slot under root: state, counts, cancelled rows."""
-    register(spark)
-    return spark.read.format("slots").option("path", root).option("what", "slots").load()
+def read_catalogue(spark: SparkSession, root: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A row per slot under root: state, counts, cancelled rows; with all columns of SLOTS or these."""
+    return _read(spark, root, "slots", SLOTS, columns)
 
 
 def write_slots(rows: DataFrame, root: str, observed_at: dt.datetime | str) -> None:

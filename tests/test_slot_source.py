@@ -198,3 +198,26 @@ def test_reader_makes_the_columns_asked_for(spark, root, monkeypatch):
         assert [r for b in out for r in b.to_pylist()] == [{c: r[c] for c in columns} for r in whole]
     assert slots.read_items(spark, root, ("ord", "item")).columns == ["ord", "item"] and slots.read_items(spark, root).columns == list(whole[0])
     assert slots.read_items(spark, root, ("yearMonth", "item")).where("yearMonth = '202403'").count() == sum(r["yearMonth"] == "202403" for r in whole)
+
+
+def test_catalogue_makes_the_columns_asked_for(spark, root, monkeypatch):
+    """A batch has the rows of many slots; rows are looked through for cancelled ones only if that is asked."""
+    odd = [{"ok": True, "count": 4, "totalCount": 4, "items": [{"cdealType": False}, {"cdealDay": 1}, {"cdealType": [" "], "b": {"c": 1}}, {"cdealDay": " ", "cdealType": None}]}, {"ok": True, "count": 0, "totalCount": 0, "items": []},
+           {"ok": True, "count": 1, "totalCount": 1, "items": [["a"]]}, {"ok": True, "count": 1, "totalCount": 1, "items": ["a"]}, {"ok": True, "count": 1, "totalCount": 1, "items": None}, {"count": 1, "totalCount": "x", "items": []}, []]
+    for k, x in enumerate(odd):
+        with open(f"{root}/rent/1000{k}-202401.json", "w") as f:
+            json.dump(x, f)
+    reader = slots.SlotReader({"path": root, "what": "slots"})
+    whole = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    of = {r["district"]: (r["state"], r["count"], r["cancelled"]) for r in whole if r["district"] < "1001"}
+    assert of == {"10000": ("ok", 4, 3), "10001": ("ok", 0, 0)} | {f"1000{k}": ("broken", None, None) for k in range(2, 7)}
+    items = [r.item for r in slots.read_items(spark, root).where("district = '10000'").orderBy("ord").collect()]
+    assert items == [{"cdealType": "false"}, {"cdealDay": "1"}, {"cdealType": '[" "]', "b": '{"c": "1"}'}, {"cdealDay": " ", "cdealType": None}]
+    monkeypatch.setattr(slots, "BATCH_ROWS", 8)
+    monkeypatch.setattr(slots, "is_cancelled", None)
+    for columns in (["kind", "district", "yearMonth", "state"], ["totalCount"], ["observedAt", "count"]):
+        reader = slots.SlotReader({"path": root, "what": "slots"}, columns)
+        out = [b for p in reader.partitions() for b in reader.read(p)]
+        assert [b.num_rows for b in out] == [8] * (len(whole) // 8) + [len(whole) % 8] * (len(whole) % 8 > 0)
+        assert [r for b in out for r in b.to_pylist()] == [{c: r[c] for c in columns} for r in whole]
+    assert slots.read_catalogue(spark, root, ("state", "district")).columns == ["district", "state"] and slots.read_catalogue(spark, root).columns == list(whole[0])
